@@ -1 +1,54 @@
+"""The daily job, from arrived CSV files to cleaned days."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from eventlake.catalog.base import BAD_DAY, RAW_COLUMNS, WEEK, between, built, query, sql
+from eventlake.plans.daily_ingest import ingest_days
+from eventlake.schemas import DAY_AUDIT
+from eventlake.session import new_scratch
+from eventlake.sources import hadoop_files as hf
+from eventlake.sources.events import read_layout
+from eventlake.sources.runs import read_runs
+from eventlake.streaming.arrivals import ingest_arrivals
+
+
+def _landed(s, d):
+    path = f"{built(s, d, 'landing')}/landing"
+    return path, hf.present_days(s, path)
+
+
+@query("daily_ingest", sql(f"SELECT {RAW_COLUMNS}, conn, day FROM ev"))
+def _(s, d):
+    root = new_scratch(s, "ingest")
+    path, days = _landed(s, d)
+    ingest_days(s, path, root, days)
+    return read_layout(s, root, "sorted")
+
+
+@query("daily_ingest_one_day", sql(f"SELECT {RAW_COLUMNS}, conn, day FROM ev WHERE day = DATE '{BAD_DAY}'"))
+def _(s, d):
+    root = new_scratch(s, "ingest")
+    ingest_days(s, _landed(s, d)[0], root, [BAD_DAY])
+    return read_layout(s, root, "sorted")
+
+
+@query("daily_ingest_audit", sql(
+    f"""SELECT day AS date, count(*) + count(*) FILTER (WHERE event_id % 1000 = 0) AS rows_in,
+               count(*) FILTER (WHERE event_id % 1000 = 0) AS duplicates_dropped, count(*) AS rows_out
+        FROM ev WHERE {between(WEEK)} GROUP BY 1"""))
+def _(s, d):
+    root = new_scratch(s, "ingest")
+    path, days = _landed(s, d)
+    ingest_days(s, path, root, [x for x in days if WEEK[0] <= x <= WEEK[1]])
+    return read_runs(s, f"{root}/ingest_runs", DAY_AUDIT).select(
+        "date", "rows_in", "duplicates_dropped", "rows_out")
+
+
+@query("ingest_of_arriving_files", sql("SELECT day, count(*) AS rows, count(conn) AS with_conn FROM ev GROUP BY 1"))
+def _(s, d):
+    root = new_scratch(s, "arrivals")
+    ingest_arrivals(s, _landed(s, d)[0], root, f"{root}/_progress")
+    return read_layout(s, root, "sorted").groupBy("day").agg(
+        F.count("*").alias("rows"), F.count("conn").alias("with_conn"))

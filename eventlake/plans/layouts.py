@@ -61,10 +61,19 @@ def write_sorted(cleaned: DataFrame, path: str, replace_days: bool = False,
 
 
 def write_tiny_files(events: DataFrame, path: str, per_day: int = TINY_FILES_PER_DAY,
-                     replace_days: bool = False) -> None:
-    """Many small files per day, as a streaming loader leaves them; kept as the bad example."""
-    chunked = events.withColumn("chunk", F.pmod("event_id", F.lit(per_day)).cast("int"))
-    _write_days(chunked.hint("rebalance", "day", "chunk"), path, "chunk", replace_days=replace_days)
+                     replace_days: bool = False, max_rows_per_file: int = 5_000_000) -> None:
+    """Many small files per day, as a streaming loader leaves them; kept as the bad example.
+
+    Not rebalanced: adaptive execution would put thousands of small files into one task. Chunks
+    of a day too large for that are split by the row count of the day."""
+    spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows_per_day = events.groupBy("day").agg(
+        F.ceil(F.count("*") / (per_day * max_rows_per_file)).alias("_pieces"))
+    chunked = events.withColumn("chunk", F.pmod("event_id", F.lit(per_day)).cast("int")).join(
+        rows_per_day, "day")
+    piece = F.pmod(F.xxhash64("event_id"), F.col("_pieces"))
+    placed = chunked.repartition(spread, "day", "chunk", piece).select(*events.columns, "chunk")
+    _write_days(placed, path, "chunk", replace_days=replace_days)
 
 
 def write_single(events: DataFrame, path: str) -> None:

@@ -19,8 +19,10 @@ from eventlake.fixed_values import (
 )
 from eventlake.functions import window
 from eventlake.plans import layouts as lay
+from eventlake.schemas import SCAN_STATS
 from eventlake.session import new_scratch
 from eventlake.sources.events import CSV_WRITE, device_events, read_layout
+from eventlake.sources.footers import read_row_groups
 
 FIRST_DAY = date(2024, 1, 1)
 BAD_DAY = date(2024, 1, 30)
@@ -136,6 +138,17 @@ def land(events: DataFrame, path: str) -> None:
      .partitionBy("day").csv(path))
 
 
+def _save_stats(spark: SparkSession, sf_dir: str, root: str, name: str) -> None:
+    """Row-group statistics are read from the footers once and kept as a table."""
+    stats = read_row_groups(spark, f"{built(spark, sf_dir, name)}/{name}")
+    stats.hint("rebalance").write.mode("overwrite").parquet(f"{root}/stats/{name}")
+
+
+def row_groups(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    root = built(spark, sf_dir, f"stats_{name}")
+    return spark.read.schema(SCAN_STATS).parquet(f"{root}/stats/{name}")
+
+
 _BUILDERS = {
     "by_day": lambda s, d, r: lay.write_by_day(device_events(s, d), f"{r}/by_day"),
     "sorted": lambda s, d, r: lay.write_sorted(lay.with_conn(device_events(s, d)), f"{r}/sorted"),
@@ -146,4 +159,6 @@ _BUILDERS = {
         read_layout(s, built(s, d, "sorted"), "sorted"), r),
     "error_codes": lambda s, d, r: lay.write_error_codes(s, r),
     "landing": lambda s, d, r: land(device_events(s, d), f"{r}/landing"),
+    "stats_sorted": lambda s, d, r: _save_stats(s, d, r, "sorted"),
+    "stats_by_day": lambda s, d, r: _save_stats(s, d, r, "by_day"),
 }

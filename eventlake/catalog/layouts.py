@@ -18,6 +18,7 @@ from eventlake.catalog.base import (
     built,
     layout,
     query,
+    row_groups,
     sql,
 )
 from eventlake.functions import in_window
@@ -247,7 +248,7 @@ def _(s, d):
 
 
 def _days_kept(s, d, name, columns, filters):
-    stats = read_row_groups(s, f"{built(s, d, name)}/{name}")
+    stats = row_groups(s, d, name)
     kept = scan.kept_row_groups(stats, columns, filters)
     day = F.regexp_extract("file", r"day=([0-9-]+)", 1)
     return kept.select(day.alias("folder_day")).distinct()

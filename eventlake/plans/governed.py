@@ -163,6 +163,7 @@ class GovernedReader:
     def run(self, request: Request) -> Answer:
         try:
             limit, note = check(request)
+            self._check_columns(request)
             mb = self.scan_mb(request)
             if mb > self.budget_mb:
                 raise Refused(f"it would read about {mb:,.2f} MB and the budget is {self.budget_mb} MB, "
@@ -175,7 +176,7 @@ class GovernedReader:
         except Refused as why:
             return Answer("refused", str(why))
         except AnalysisException as why:
-            return Answer("refused", f"Spark could not run it: {why.getCondition()}: {why}")
+            return Answer("refused", f"Spark could not run it: {why}")
         return Answer("ok", note, result, mb)
 
     def run_union(self, *requests: Request) -> Answer:
@@ -239,10 +240,18 @@ class GovernedReader:
         weight = F.col("_copies_l") * F.col("_copies_r") if request.aggregates else None
         return left.join(right, on), weight
 
-    def _bounded(self, source: Source) -> DataFrame:
+    def _table(self, source: Source) -> DataFrame:
         if source.table not in self.tables:
             raise Refused(f"{source.table} has not been built yet")
-        df = self.tables[source.table]
+        return self.tables[source.table]
+
+    def _check_columns(self, request: Request) -> None:
+        known = {c for s in _sources(request) for c in self._table(s).columns}
+        if unknown := sorted(_mentioned(request) - known):
+            raise Refused(f"Spark could not run it: there is no column {', '.join(unknown)}")
+
+    def _bounded(self, source: Source) -> DataFrame:
+        df = self._table(source)
         if source.first is not None and source.last is not None:
             df = df.where(F.col("day").between(F.lit(source.first), F.lit(source.last)))
         for f in source.filters:

@@ -281,16 +281,15 @@ def _derived_stats(s, d):
     lines = s.read.parquet(f"{d}/lineitem.parquet")
     file = F.concat(F.lit("t/day="), F.date_format("l_shipdate", "yyyy"), F.lit("-01-01/f"))
     late = F.when(F.col("l_linenumber") > 4, F.col("l_partkey"))
-    parts = lines.select(file.alias("file"), F.col("l_linenumber").alias("row_group"), F.inline(F.array(*[
-        F.struct(F.lit(n).alias("column"), c.alias("v"), t.alias("t")) for n, c, t in (
-            ("part", F.col("l_partkey"), F.lit(None).cast("string")),
-            ("late", late, F.lit(None).cast("string")),
-            ("flag", F.lit(None).cast("bigint"), F.col("l_returnflag")))])))
-    return parts.groupBy("file", "row_group", "column").agg(
-        F.coalesce(F.min("v").cast("string"), F.min("t")).alias("lo"),
-        F.coalesce(F.max("v").cast("string"), F.max("t")).alias("hi"),
+    columns = {"part": F.col("l_partkey"), "late": late, "flag": F.col("l_returnflag")}
+    groups = lines.groupBy(file.alias("file"), F.col("l_linenumber").alias("row_group")).agg(
         F.count("*").alias("bytes"),
-        (F.count("v") + F.count("t") == 0).alias("all_null")).select(*SCAN_STATS.fieldNames())
+        *[m(c).alias(f"{name}_{end}") for name, c in columns.items() for end, m in (("lo", F.min), ("hi", F.max))])
+    chunks = F.array(*[
+        F.struct(F.lit(name).alias("column"), F.col(f"{name}_lo").cast("string").alias("lo"),
+                 F.col(f"{name}_hi").cast("string").alias("hi"), F.col("bytes").alias("bytes"),
+                 F.col(f"{name}_lo").isNull().alias("all_null")) for name in columns])
+    return groups.select("file", "row_group", F.inline(chunks)).select(*SCAN_STATS.fieldNames())
 
 
 @query("scan_estimate", """

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.fixed_values import BATTERY_RANGE, CONNECTIONS, MAX_LATE_HOURS, RETRIES_RANGE
-from eventlake.functions import json_text
+
+PAYLOAD = "conn string, battery string, retries string"
 
 
 def status_mismatch() -> Column:
@@ -18,10 +19,11 @@ def arrival_off() -> Column:
     return (F.col("ingested_at") < F.col("event_ts")) | (F.col("ingested_at") > latest)
 
 
-def payload_off() -> Column:
-    battery = json_text("payload", "battery").try_cast("int")
-    retries = json_text("payload", "retries").try_cast("int")
-    return (~json_text("payload", "conn").isin(*CONNECTIONS)
+def payload_off(parsed: Column) -> Column:
+    """Takes the payload parsed with PAYLOAD."""
+    battery = parsed["battery"].try_cast("int")
+    retries = parsed["retries"].try_cast("int")
+    return (~parsed["conn"].isin(*CONNECTIONS)
             | ~battery.between(*BATTERY_RANGE) | ~retries.between(*RETRIES_RANGE))
 
 
@@ -30,9 +32,9 @@ def quality_report(events: DataFrame) -> DataFrame:
     row_rules = {
         "status and error code disagree": status_mismatch(),
         "arrival time off": arrival_off(),
-        "payload off": payload_off(),
+        "payload off": payload_off(F.col("parsed")),
     }
-    one_scan = events.agg(*[F.count_if(bad).alias(rule) for rule, bad in row_rules.items()])
+    one_scan = events.withColumn("parsed", F.from_json("payload", PAYLOAD)).agg(*[F.count_if(bad).alias(rule) for rule, bad in row_rules.items()])
     stacked = F.inline(F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.col(f"`{rule}`").alias("bad_rows"))
         for rule in row_rules]))

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.operators.dedupe import one_per_key
-from eventlake.plans.layouts import with_conn, write_sorted
+from eventlake.plans.layouts import with_conn, write_rollups, write_sorted
 from eventlake.schemas import DAY_AUDIT, EVENT_CLEAN
 from eventlake.session import new_scratch
 from eventlake.sources import hadoop_files as hf
-from eventlake.sources.events import read_landing
+from eventlake.sources.events import read_landing, read_layout
 from eventlake.sources.files import list_files
 from eventlake.sources.runs import append_records
 
@@ -29,12 +29,14 @@ def clean(arrived: DataFrame) -> DataFrame:
 
 
 def ingest_days(spark: SparkSession, landing: str, root: str, days: list[date],
-                expected_rows: Mapping[date, int] | None = None) -> DataFrame:
+                expected_rows: Mapping[date, int] | None = None,
+                refresh_rollups: bool = False) -> DataFrame:
     """Clean the asked days in one job and replace exactly these days of the cleaned layer.
 
     The result is staged and checked first: each day must hold as many rows as its arrived files
     hold different event ids, and as many as `expected_rows` says if given. Counts are taken from
     the files, not from accumulators, so that re-run tasks do not disturb them.
+    With refresh_rollups the roll-up rows of these days are built again too.
     Returns (and logs under <root>/ingest_runs) one audit row per day."""
     begin = time.perf_counter()
     asked = sorted(set(days))
@@ -51,13 +53,13 @@ def ingest_days(spark: SparkSession, landing: str, root: str, days: list[date],
                                       F.countDistinct("event_id").alias("ids_in"))
     kept = (spark.read.schema(EVENT_CLEAN).parquet(staged)
             .groupBy("day").agg(F.count("*").alias("rows_out")))
-    counts = {r["day"]: r for r in came.join(kept, "day", "left").collect()}
+    both = came.join(kept, "day", "left").fillna(0, ["rows_out"])
+    counts = {r["day"]: r for r in both.collect()}
     seconds = time.perf_counter() - begin
     problems = []
     for day in asked:
-        row = counts.get(day)
-        got = row["rows_out"] if row else 0
-        wanted = {row["ids_in"] if row else 0}
+        got, ids = (counts[day]["rows_out"], counts[day]["ids_in"]) if day in counts else (0, 0)
+        wanted = {ids}
         if expected_rows and day in expected_rows:
             wanted.add(expected_rows[day])
         if wanted != {got}:
@@ -66,18 +68,17 @@ def ingest_days(spark: SparkSession, landing: str, root: str, days: list[date],
         hf.drop(spark, staged)
         raise BadDay("; ".join(problems))
 
-    for day in asked:
-        if day in counts:
-            hf.swap_in(spark, f"{staged}/day={day}", f"{root}/sorted/day={day}")
-    hf.drop(spark, staged)
+    hf.replace_days(spark, staged, f"{root}/sorted", asked)
+    if refresh_rollups:
+        write_rollups(read_layout(spark, root, "sorted"), root, days=asked)
 
     csv_mb = _mb_per_day(spark, landing, asked)
     parquet_mb = _mb_per_day(spark, f"{root}/sorted", asked)
     audit = []
-    for day, row in sorted(counts.items()):
-        audit.append((day, row["rows_in"], row["rows_in"] - row["rows_out"], row["rows_out"],
-                      round(seconds, 1), round(row["rows_in"] / seconds),
-                      csv_mb.get(day, 0.0), parquet_mb.get(day, 0.0)))
+    for day in asked:
+        rows_in, rows_out = (counts[day]["rows_in"], counts[day]["rows_out"]) if day in counts else (0, 0)
+        audit.append((day, rows_in, rows_in - rows_out, rows_out, round(seconds, 1),
+                      round(rows_in / seconds), csv_mb.get(day, 0.0), parquet_mb.get(day, 0.0)))
     append_records(spark, audit, DAY_AUDIT, f"{root}/ingest_runs")
     return spark.createDataFrame(audit, DAY_AUDIT)
 

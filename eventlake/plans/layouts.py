@@ -6,6 +6,7 @@ through one task. The file size follows spark.sql.adaptive.advisoryPartitionSize
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from datetime import date
 
@@ -89,12 +90,19 @@ def write_csv(events: DataFrame, path: str) -> None:
 
 def write_rollups(events: DataFrame, root: str, days: list[date] | None = None) -> None:
     """Build both daily roll-ups, for all days or only for days that were touched."""
+    spark = events.sparkSession
     if days is not None:
         events = events.where(F.col("day").isin(days))
     for name, rollup in (("rollup_daily_health", rollup_daily_health),
                          ("rollup_daily_errors", rollup_daily_errors)):
         path = f"{root}/{SMALL_TABLES[name][0]}"
-        _write_days(rollup(events).hint("rebalance", "day"), path, replace_days=days is not None)
+        rows = rollup(events).hint("rebalance", "day")
+        if days is None:
+            _write_days(rows, path)
+        else:
+            staged = f"{root}/_incoming/{name}-{uuid.uuid4().hex[:12]}"
+            _write_days(rows, staged)
+            hf.replace_days(spark, staged, path, days)
 
 
 def write_error_codes(spark: SparkSession, root: str, first: int = 1000, count: int = 200) -> None:
@@ -113,7 +121,8 @@ def build_layouts(spark: SparkSession, root: str, force: bool = False,
                   single_max_rows: int = SINGLE_MAX_ROWS) -> list[str]:
     """Build the other layouts, the lookup and the roll-ups from the by_day layout under a root.
 
-    Finished days and tables are left alone unless forced; roll-ups always cover all days.
+    Finished days and tables are left alone unless forced; roll-ups are always built again, over
+    all days of the cleaned layer.
     CSV and tiny files exist for comparison and are left out above baseline_max_rows, the
     single table above single_max_rows."""
     days = hf.present_days(spark, f"{root}/by_day")
@@ -146,5 +155,5 @@ def build_layouts(spark: SparkSession, root: str, force: bool = False,
     if force or not hf.exists(spark, f"{root}/lookup/error_codes/_SUCCESS"):
         write_error_codes(spark, root)
         built.append("error_codes")
-    write_rollups(events, root)
+    write_rollups(read_layout(spark, root, "sorted"), root)
     return [*built, "rollup_daily_health", "rollup_daily_errors"]

@@ -16,6 +16,7 @@ def build_session(app_name: str = "eventlake", master: str | None = None, **conf
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256MB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:

@@ -78,6 +78,18 @@ def swap_in(spark: SparkSession, staged: str, final: str) -> None:
         fs.delete(aside, True)
 
 
+def replace_days(spark: SparkSession, staged: str, final: str, days: list[date]) -> None:
+    """Put staged day folders in place of exactly these days. A day without staged rows ends up
+    without a folder, so that nothing stale is left of it."""
+    have = set(present_days(spark, staged))
+    for day in days:
+        if day in have:
+            swap_in(spark, f"{staged}/day={day}", f"{final}/day={day}")
+        else:
+            drop(spark, f"{final}/day={day}")
+    drop(spark, staged)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     if fs.exists(p):

@@ -169,3 +169,22 @@ def test_failed_steps_are_logged_too(spark, tmp_path):
     rows = {r["step"]: r for r in read_runs(spark, path).collect()}
     assert rows["good"]["status"] == "done" and rows["good"]["error"] is None
     assert rows["bad"]["status"] == "failed" and "no" in rows["bad"]["error"]
+
+
+def test_nothing_stale_is_left_of_a_day_that_lost_its_rows(spark, events, tmp_path):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "root")
+    land(events, landing)
+    ingest_days(spark, landing, root, DAYS, refresh_rollups=True)
+    # the day arrives again: one day without failures, another one without any event
+    calm = events.where((F.col("day") == F.lit(DAYS[0])) & (F.col("status") == "ok")).drop("day")
+    calm.write.mode("overwrite").options(**CSV_WRITE).csv(f"{landing}/day={DAYS[0]}")
+    names = ",".join(f.name for f in EVENT_CLEAN.fields if f.name not in ("conn", "day"))
+    folder = tmp_path / "landing" / f"day={DAYS[1]}"
+    for old in folder.iterdir():
+        old.unlink()
+    (folder / "empty.csv").write_text(names + "\n")
+    audit = {r["date"]: r for r in ingest_days(spark, landing, root, DAYS[:2], refresh_rollups=True).collect()}
+    assert audit[DAYS[1]]["rows_in"] == audit[DAYS[1]]["rows_out"] == 0
+    assert hf.present_days(spark, f"{root}/sorted") == [DAYS[0], DAYS[2]]
+    assert hf.present_days(spark, f"{root}/rollups/rollup_daily_errors") == [DAYS[2]]
+    assert hf.present_days(spark, f"{root}/rollups/rollup_daily_health") == [DAYS[0], DAYS[2]]

@@ -39,16 +39,21 @@ def json_path(parsed: Column, path: JsonPath) -> Column:
     return parsed
 
 
+# A cast that fails costs an exception per row, so text that cannot be a number is kept from it.
+_NUMBER_LIKE = r"^\s*[+-]?[0-9.iInN]"
+_DIGITS = r"^\s*[+-]?[0-9]+\s*$"
+
+
 def as_double(text: Column) -> Column:
     """Number from a JSON leaf, NULL where it is none."""
-    return text.try_cast("double")
+    return F.when(text.rlike(_NUMBER_LIKE), text.try_cast("double"))
 
 
 def as_bigint(text: Column) -> Column:
     """Whole number from a JSON leaf: fractions are rounded, true and false count as 1 and 0."""
     return F.coalesce(
-        text.try_cast("bigint"),
-        F.round(text.try_cast("double")).try_cast("bigint"),
+        F.when(text.rlike(_DIGITS), text.try_cast("bigint")),
+        F.round(as_double(text)).try_cast("bigint"),
         F.when(text == "true", F.lit(1)).when(text == "false", F.lit(0)).cast("bigint"),
     )
 

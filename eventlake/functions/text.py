@@ -15,7 +15,9 @@ def duration_minutes(text: Column) -> Column:
     A unit is known by its first letter, and the first match of a unit counts."""
     total = F.lit(0).cast("bigint")
     for unit, minutes in _MINUTES.items():
-        amount = F.regexp_extract(text, rf"(\d+)\s*{unit}", 1).try_cast("bigint")
+        digits = F.regexp_extract(text, rf"(\d+)\s*{unit}", 1)
+        # an empty match is kept from the cast, which would raise and catch an error for each row
+        amount = F.when(digits != "", digits.try_cast("bigint"))
         total = total + F.coalesce(amount, F.lit(0)) * minutes
     return F.when(text.rlike(r"\d"), total)
 
@@ -23,7 +25,8 @@ def duration_minutes(text: Column) -> Column:
 def parse_count(text: Column) -> Column:
     """Row counts written as 10M, 2.5M, 250K, 1b or a plain number; NULL where not positive."""
     clean = F.upper(F.replace(F.trim(text), F.lit("_")))
-    number = F.regexp_extract(clean, r"^(\d+(?:\.\d*)?|\.\d+)[KMB]?$", 1).try_cast("double")
+    digits = F.regexp_extract(clean, r"^(\d+(?:\.\d*)?|\.\d+)[KMB]?$", 1)
+    number = F.when(digits != "", digits.try_cast("double"))
     scale = (
         F.when(clean.endswith("K"), 1e3).when(clean.endswith("M"), 1e6).when(clean.endswith("B"), 1e9)
         .otherwise(1.0)

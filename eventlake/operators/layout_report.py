@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlake.sources import hadoop_files as hf
 from eventlake.sources.events import LAYOUTS
 from eventlake.sources.files import list_files
 from eventlake.sources.views import SMALL_TABLES
@@ -15,9 +18,11 @@ def layout_files(spark: SparkSession, root: str) -> DataFrame:
     name = F.lit(None).cast("string")
     folders = {layout: folder for layout, (folder, _) in LAYOUTS.items()}
     folders |= {table: folder for table, (folder, _) in SMALL_TABLES.items() if table != "error_codes"}
+    # listings write file:/x or file:///x, so everything up to the root's own path is cut off
+    below = F.substring_index("path", unquote(urlparse(hf.qualified(spark, root)).path), -1)
     for layout, folder in folders.items():
-        name = F.when(F.col("path").contains(f"/{folder}/"), layout).otherwise(name)
-    files = list_files(spark, root).where(~F.regexp_extract("path", r"([^/]+)$", 1).rlike("^[_.]"))
+        name = F.when(below.startswith(f"/{folder}/"), layout).otherwise(name)
+    files = list_files(spark, root)
     return files.withColumn("layout", name).where("layout IS NOT NULL")
 
 

@@ -21,6 +21,7 @@ from eventlake.functions import window
 from eventlake.plans import layouts as lay
 from eventlake.schemas import SCAN_STATS
 from eventlake.session import new_scratch
+from eventlake.sources import hadoop_files as hf
 from eventlake.sources.events import CSV_WRITE, device_events, read_layout
 from eventlake.sources.footers import read_row_groups
 
@@ -107,6 +108,7 @@ def between(w: tuple[date, date]) -> str:
 
 _ROOTS: dict[tuple[str, str], str] = {}
 _BUILT: set[tuple[str, str]] = set()
+_FOLDERS = {"error_codes": "lookup", "stats_sorted": "stats/sorted", "stats_by_day": "stats/by_day"}
 
 
 def _root(spark: SparkSession, sf_dir: str) -> str:
@@ -120,7 +122,7 @@ def built(spark: SparkSession, sf_dir: str, *parts: str) -> str:
     """Root folder under which the wanted parts are in place."""
     root = _root(spark, sf_dir)
     for part in parts:
-        if (root, part) not in _BUILT:
+        if (root, part) not in _BUILT or not hf.exists(spark, f"{root}/{_FOLDERS.get(part, part)}"):
             _BUILDERS[part](spark, sf_dir, root)
             _BUILT.add((root, part))
     return root

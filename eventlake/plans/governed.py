@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import date
+from datetime import date, datetime
+from decimal import Decimal
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ COMPARISONS = {
     "is not null": lambda c, v: c.isNotNull(),
 }
 
+PLAIN = (bool, int, float, str, Decimal, date, datetime)
+
 
 class Refused(Exception):
     """Why a request is not run, worded so that the caller can mend it."""
@@ -118,6 +121,9 @@ def check(request: Request) -> tuple[int, str]:
         for f in source.filters:
             if f.op not in COMPARISONS:
                 raise Refused(f"unknown comparison {f.op!r}")
+            values = f.value if f.op == "in" and isinstance(f.value, (list, tuple)) else [f.value]
+            if not all(v is None or isinstance(v, PLAIN) for v in values):
+                raise Refused("filters compare with plain values only")
         if source.table == EVENTS:
             _check_window(source)
     for a in request.aggregates:
@@ -126,6 +132,9 @@ def check(request: Request) -> tuple[int, str]:
     if any(s.table == EVENTS for s in _sources(request)) and (
             request.every_column or not (request.columns or request.aggregates)):
         raise Refused(f"whole rows of {EVENTS} are not given out, name the columns needed")
+    outputs = {*request.columns, *(a.alias for a in request.aggregates)}
+    if not request.every_column and not outputs.issuperset(c for c, _ in request.order_by):
+        raise Refused("order by columns that are given out")
     limit = request.limit
     if type(limit) is not int or not 0 <= limit <= MAX_ROWS:
         return MAX_ROWS, f"limit {MAX_ROWS} was set"
@@ -175,8 +184,8 @@ class GovernedReader:
                               "ask for fewer columns or aggregate more")
         except Refused as why:
             return Answer("refused", str(why))
-        except AnalysisException as why:
-            return Answer("refused", f"Spark could not run it: {why}")
+        except PySparkException as why:
+            return Answer("refused", f"Spark could not run it: {str(why).splitlines()[0]}")
         return Answer("ok", note, result, mb)
 
     def run_union(self, *requests: Request) -> Answer:

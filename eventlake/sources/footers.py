@@ -13,6 +13,8 @@ def read_row_groups(spark: SparkSession, root: str) -> DataFrame:
     bytes, and whether all values are NULL. Tasks read footers only, never column data."""
 
     def footers(batches):
+        import re
+
         import pandas as pd
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
@@ -27,8 +29,7 @@ def read_row_groups(spark: SparkSession, root: str) -> DataFrame:
         names = ["file", "row_group", "column", "lo", "hi", "bytes", "all_null"]
         for batch in batches:
             for path in batch["path"]:
-                fs, inner = (pafs.FileSystem.from_uri(path) if "://" in path
-                             else pafs.FileSystem.from_uri("file://" + path.removeprefix("file:")))
+                fs, inner = pafs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
                 with fs.open_input_file(inner) as source:
                     meta = pq.ParquetFile(source).metadata
                     rows = []

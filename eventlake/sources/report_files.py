@@ -56,13 +56,13 @@ def checked_files(spark: SparkSession, path: str) -> list[str]:
 
 def _copy_files(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
     def copy(batches):
+        import re
         import shutil
 
         import pyarrow.fs as pafs
 
         def located(path):
-            uri = path if "://" in path else "file://" + path.removeprefix("file:")
-            return pafs.FileSystem.from_uri(uri)
+            return pafs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
 
         for batch in batches:
             for src, dst in zip(batch["src"], batch["dst"]):

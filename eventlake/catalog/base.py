@@ -30,7 +30,7 @@ BAD_DAY = date(2024, 1, 30)
 WEEK = window(BAD_DAY, 7)
 MONTH = window(BAD_DAY, 30)
 ERROR_CODE = 1042
-DEVICE = 42
+DEVICE = 7
 MODEL, OS_VERSION = "DX-300", "ios17"
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

@@ -231,7 +231,7 @@ def _(s, d):
     rows = layout(s, d, "by_day").count()
     sizes = report.layout_sizes(report.layout_files(s, root), rows)
     wanted = sizes.where(F.col("layout").isin("by_day", "sorted", "single", "csv"))
-    priced = (F.col("files") >= 1) & (F.col("mb") > 0) & (F.col("bytes_per_row") > 0)
+    priced = (F.col("files") >= 1) & (F.col("mb") >= 0) & (F.col("bytes_per_row") > 0)
     return wanted.select("layout", F.lit(rows).cast("bigint").alias("rows"), priced.alias("priced"))
 
 

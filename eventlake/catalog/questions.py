@@ -24,24 +24,26 @@ from eventlake.sources.views import read_small_table
 
 ONE_DAY_SQL = sql(f"SELECT count(*) AS failures FROM ev WHERE day = DATE '{BAD_DAY}' AND status = 'fail'")
 TOP_ERRORS_SQL = sql(
-    f"""SELECT e.error_code, c.meaning, count(*) AS failures
-        FROM ev e JOIN ec c ON c.code = e.error_code WHERE {between(WEEK)} AND e.status = 'fail'
-        GROUP BY 1, 2 ORDER BY failures DESC, e.error_code LIMIT 10""", EV, EC)
+    f"""SELECT error_code, meaning, count(*) AS failures
+        FROM ev INNER JOIN ec ON ev.error_code = ec.code
+        WHERE status = 'fail' AND {between(WEEK)}
+        GROUP BY error_code, meaning ORDER BY count(*) DESC, error_code ASC LIMIT 10""", EV, EC)
 DEVICES_SQL = sql(f"""SELECT count(DISTINCT device_id) AS devices FROM ev
                       WHERE {between(WEEK)} AND error_code = {ERROR_CODE}""")
 FAIL_RATE_SQL = sql(
-    """SELECT device_model, os_version, count(*) AS events,
-              round(CAST(100 AS DOUBLE) * count(*) FILTER (WHERE status = 'fail') / count(*), 2) AS fail_pct
-       FROM ev GROUP BY 1, 2 ORDER BY fail_pct DESC, 1, 2 LIMIT 10""")
+    """SELECT device_model, os_version, n AS events, round(CAST(100 AS DOUBLE) * bad / n, 2) AS fail_pct
+       FROM (SELECT device_model, os_version, count(*) AS n, count(error_code) AS bad FROM ev GROUP BY ALL)
+       ORDER BY fail_pct DESC, device_model, os_version LIMIT 10""")
 HISTORY_SQL = sql(f"""SELECT event_id, event_ts, event_type, status, error_code FROM ev
                       WHERE device_id = {DEVICE} AND {between(MONTH)}
                       ORDER BY event_ts DESC, event_id DESC LIMIT 100""")
 CONN_SQL = sql(f"""SELECT conn, count(*) AS failures FROM ev
                    WHERE {between(WEEK)} AND status = 'fail' GROUP BY 1""")
 WHAT_BROKE_SQL = sql(
-    f"""SELECT e.device_model, e.os_version, c.meaning, count(*) AS n
-        FROM ev e JOIN ec c ON c.code = e.error_code WHERE day = DATE '{BAD_DAY}' AND status = 'fail'
-        GROUP BY 1, 2, 3 ORDER BY n DESC, 1, 2, 3 LIMIT 3""", EV, EC)
+    f"""SELECT device_model, os_version, meaning, count(*) AS n
+        FROM ev INNER JOIN ec ON ev.error_code = ec.code
+        WHERE status = 'fail' AND day = DATE '{BAD_DAY}'
+        GROUP BY ALL ORDER BY n DESC, device_model, os_version, meaning LIMIT 3""", EV, EC)
 PER_DAY_SQL = sql(f"""SELECT day, count(*) AS failures FROM ev
                       WHERE {between(WEEK)} AND status = 'fail' GROUP BY 1""")
 PER_STATUS_SQL = sql(f"SELECT status, count(*) AS events FROM ev WHERE day = DATE '{BAD_DAY}' GROUP BY 1")

@@ -255,11 +255,11 @@ def _(s, d):
 
 @query("having_many_devices", sql(
     """SELECT error_code, count(DISTINCT device_id) AS devices FROM ev WHERE status = 'fail'
-       GROUP BY 1 HAVING count(DISTINCT device_id) > 15"""))
+       GROUP BY 1 HAVING count(DISTINCT device_id) > 2"""))
 def _(s, d):
     per_code = device_events(s, d).where("status = 'fail'").groupBy("error_code").agg(
         F.countDistinct("device_id").alias("devices"))
-    return per_code.where("devices > 15")
+    return per_code.where("devices > 2")
 
 
 @query("aggregate_of_aggregate", sql(

@@ -35,16 +35,16 @@ def date_range(covered: tuple[date, date], on: date | None = None,
 
     None means that no restriction was asked for."""
     if on is not None and (first is not None or last is not None):
-        raise ValueError("give one day or a range of days, not both")
+        raise ValueError("one day and a range of days exclude each other")
     if on is None and first is None and last is None:
         return None
     lo = on or first or covered[0]
     hi = on or last or covered[1]
     for day in (lo, hi):
         if day < covered[0] or day > covered[1]:
-            raise ValueError(f"{day} is outside this dataset ({covered[0]} to {covered[1]})")
+            raise ValueError(f"{day} is not covered, the table holds {covered[0]} to {covered[1]}")
     if lo > hi:
-        raise ValueError(f"first day {lo} is after last day {hi}")
+        raise ValueError(f"the range ends on {hi}, before it starts on {lo}")
     return lo, hi
 
 

@@ -152,7 +152,7 @@ def _check_window(source: Source) -> None:
         if type(day) is not date:
             raise Refused(f"the window has to be plain dates, not {day!r}")
     if (source.last - source.first).days + 1 > MAX_WINDOW_DAYS:
-        raise Refused(f"the window on {EVENTS} is wider than {MAX_WINDOW_DAYS} days; {CHEAPER}")
+        raise Refused(f"the window on {EVENTS} spans more than {MAX_WINDOW_DAYS} days; {CHEAPER}")
 
 
 class GovernedReader:

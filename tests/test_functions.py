@@ -28,11 +28,11 @@ def values(spark, rows, schema, column):
 
 
 def test_parse_day_takes_iso_days():
-    assert parse_day("2026-06-11") == date(2026, 6, 11)
+    assert parse_day("2025-03-24") == date(2025, 3, 24)
 
 
-@pytest.mark.parametrize("text", ["11-06-2026", "2026/06/11", "2026-6-11", "20260611", "2026-02-30",
-                                  "2026-13-01", "yesterday", "", "2026-06-11 "])
+@pytest.mark.parametrize("text", ["24-03-2025", "2025.03.24", "2025-3-24", "20250324", "2025-04-31", "2025-00-10",
+                                  "today", "", "2025-03-24 ", "2025-W13-1"])
 def test_parse_day_refuses_the_rest(text):
     with pytest.raises(ValueError):
         parse_day(text)
@@ -47,10 +47,10 @@ def test_date_range_forms():
 
 
 @pytest.mark.parametrize("args, message", [
-    ({"on": date(2026, 5, 31)}, "outside this dataset"),
-    ({"on": date(2026, 6, 4)}, "outside this dataset"),
-    ({"first": date(2026, 6, 3), "last": date(2026, 6, 1)}, "is after"),
-    ({"on": date(2026, 6, 1), "first": date(2026, 6, 1)}, "not both"),
+    ({"on": date(2026, 5, 31)}, "not covered"),
+    ({"on": date(2026, 6, 4)}, "not covered"),
+    ({"first": date(2026, 6, 3), "last": date(2026, 6, 1)}, "before it starts"),
+    ({"on": date(2026, 6, 1), "first": date(2026, 6, 1)}, "exclude each other"),
 ])
 def test_date_range_refuses(args, message):
     with pytest.raises(ValueError, match=message):
@@ -63,15 +63,15 @@ def test_window_is_clamped():
 
 
 def test_parse_count(spark):
-    texts = ["10M", "1b", "250K", "1234", "2.5M", " 1_000 ", "", "abc", "-5M", "0", "K", None]
+    texts = ["30M", "2b", "75K", "981", "1.25M", " 1_000 ", "", "many", "-3K", "0", "K", None]
     assert values(spark, texts, "t string", parse_count(F.col("t"))) == [
-        10_000_000, 1_000_000_000, 250_000, 1234, 2_500_000, 1000, None, None, None, None, None, None]
+        30_000_000, 2_000_000_000, 75_000, 981, 1_250_000, 1000, None, None, None, None, None, None]
 
 
 def test_durations(spark):
-    texts = ["2 weeks, 3 days, 4 hours, 5 minutes", "3d 4h 5m", "none", None, "2 months", "99", "5 Hours"]
+    texts = ["1 week, 2 days, 3 hours, 7 minutes", "6d 1h 9m", "none", None, "2 months", "99", "5 Hours"]
     assert values(spark, texts, "t string", duration_minutes(F.col("t"))) == [
-        24725, 4565, None, None, 2, 0, 0]
+        13147, 8709, None, None, 2, 0, 0]
 
 
 def test_numbers_from_json_leaves(spark):

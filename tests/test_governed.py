@@ -50,7 +50,7 @@ REFUSED = [
     (Request(Source("events", filters=[FAILED]), {}, [COUNT]), "first and a last day"),
     (Request(Source("events", first=FIRST), {}, [COUNT]), "first and a last day"),
     (Request(Source("events", last=LAST), {}, [COUNT]), "first and a last day"),
-    (Request(Source("events", FIRST, date(2024, 2, 1)), {}, [COUNT]), "wider than 31 days"),
+    (Request(Source("events", FIRST, date(2024, 2, 1)), {}, [COUNT]), "more than 31 days"),
     (Request(Source("events", "2024-01-01", "current_date"), {}, [COUNT]), "plain dates"),
     (Request(Source("events", datetime(2024, 1, 1), LAST), {}, [COUNT]), "plain dates"),
     (Request(WEEK, {}, [COUNT], Source("events"), [("device_id", "device_id")]), "first and a last day"),

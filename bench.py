@@ -71,6 +71,8 @@ def main() -> None:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
+        # few cores and little data: smaller tasks keep all cores at work
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32MB",
     })
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}

@@ -27,6 +27,8 @@ BASELINE_MAX_ROWS = 10_000_000
 SINGLE_MAX_ROWS = 100_000_000
 RESEND_ONE_IN = 1000
 
+SORTED_ROW_GROUP_BYTES = 16 * 1024 * 1024
+
 # Limits of a governed read.
 MAX_WINDOW_DAYS = 31
 MAX_ROWS = 1000

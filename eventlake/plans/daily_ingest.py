@@ -14,7 +14,7 @@ from eventlake.plans.layouts import with_conn, write_rollups, write_sorted
 from eventlake.schemas import DAY_AUDIT, EVENT_CLEAN
 from eventlake.session import new_scratch
 from eventlake.sources import hadoop_files as hf
-from eventlake.sources.events import read_landing, read_layout
+from eventlake.sources.events import count_landing, read_landing, read_layout
 from eventlake.sources.files import list_files
 from eventlake.sources.runs import append_records
 
@@ -49,8 +49,7 @@ def ingest_days(spark: SparkSession, landing: str, root: str, days: list[date],
     # files to be; only several days at once need a second shuffle to keep days together.
     write_sorted(clean(arrived), staged, rebalance=len(asked) > 1)
 
-    came = arrived.groupBy("day").agg(F.count("*").alias("rows_in"),
-                                      F.countDistinct("event_id").alias("ids_in"))
+    came = count_landing(spark, landing, asked)
     kept = (spark.read.schema(EVENT_CLEAN).parquet(staged)
             .groupBy("day").agg(F.count("*").alias("rows_out")))
     both = came.join(kept, "day", "left").fillna(0, ["rows_out"])

@@ -17,6 +17,7 @@ from eventlake.fixed_values import (
     BASELINE_MAX_ROWS,
     SINGLE_MAX_ROWS,
     SORT_KEY,
+    SORTED_ROW_GROUP_BYTES,
     TINY_FILES_PER_DAY,
 )
 from eventlake.functions import json_text
@@ -38,8 +39,11 @@ def in_layout_order(events: DataFrame, sort_by: Iterable[str] = SORT_KEY) -> Dat
     return events.sortWithinPartitions("day", *[F.asc_nulls_last(c) for c in sort_by])
 
 
-def _write_days(df: DataFrame, path: str, *folders: str, replace_days: bool = False) -> None:
+def _write_days(df: DataFrame, path: str, *folders: str, replace_days: bool = False,
+                row_group_bytes: int | None = None) -> None:
     writer = df.write.mode("overwrite").option("compression", "zstd").partitionBy("day", *folders)
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
     if replace_days:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     else:
@@ -58,7 +62,8 @@ def write_sorted(cleaned: DataFrame, path: str, replace_days: bool = False,
     and readers can skip the rest. Pass rebalance=False if rows are well spread already."""
     spread = cleaned.hint("rebalance", "day") if rebalance else cleaned
     ordered = in_layout_order(spread.select(*EVENT_CLEAN.fieldNames()))
-    _write_days(ordered, path, replace_days=replace_days)
+    # small row groups, so that sorted values leave many of them to skip
+    _write_days(ordered, path, replace_days=replace_days, row_group_bytes=SORTED_ROW_GROUP_BYTES)
 
 
 def write_tiny_files(events: DataFrame, path: str, per_day: int = TINY_FILES_PER_DAY,

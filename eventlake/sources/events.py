@@ -19,7 +19,7 @@ from eventlake.fixed_values import (
     OS_VERSIONS,
 )
 from eventlake.functions import json_text, pick
-from eventlake.schemas import EVENT, EVENT_CLEAN, EVENT_RAW, TINY_EVENT
+from eventlake.schemas import DAY, EVENT, EVENT_CLEAN, EVENT_RAW, TINY_EVENT
 
 # layout name -> (folder below the root, schema)
 LAYOUTS: dict[str, tuple[str, T.StructType]] = {
@@ -51,6 +51,19 @@ def read_landing(spark: SparkSession, root: str) -> DataFrame:
     return read_csv_events(spark, root, EVENT)
 
 
+def count_landing(spark: SparkSession, root: str, days: list[date]) -> DataFrame:
+    """Rows and different event ids that arrived per day.
+
+    Counted from the lines as text, where the id is the first field. That is several times cheaper
+    than a second CSV parse, and it does not share the mistakes of the first one."""
+    lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType()), DAY])).text(root)
+    first = F.trim(F.trim(F.substring_index("value", ",", 1)), F.lit('"'))
+    header = EVENT_RAW.fieldNames()[0]
+    records = lines.where(F.col("day").isin(days) & (F.trim("value") != "") & (first != header))
+    return records.groupBy("day").agg(
+        F.count("*").alias("rows_in"), F.countDistinct(first.cast("bigint")).alias("ids_in"))
+
+
 def read_layout(spark: SparkSession, root: str, layout: str) -> DataFrame:
     folder, schema = LAYOUTS[layout]
     if layout == "csv":

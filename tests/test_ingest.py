@@ -188,3 +188,23 @@ def test_nothing_stale_is_left_of_a_day_that_lost_its_rows(spark, events, tmp_pa
     assert hf.present_days(spark, f"{root}/sorted") == [DAYS[0], DAYS[2]]
     assert hf.present_days(spark, f"{root}/rollups/rollup_daily_errors") == [DAYS[2]]
     assert hf.present_days(spark, f"{root}/rollups/rollup_daily_health") == [DAYS[0], DAYS[2]]
+
+
+def test_arrived_lines_are_counted_as_the_csv_reader_sees_them(spark, landing, tmp_path):
+    from eventlake.sources.events import count_landing
+
+    def by_reader(path):
+        rows = read_landing(spark, path).groupBy("day").agg(
+            F.count("*").alias("rows_in"), F.countDistinct("event_id").alias("ids_in"))
+        return sorted(map(tuple, rows.collect()))
+
+    assert sorted(map(tuple, count_landing(spark, landing, DAYS).collect())) == by_reader(landing)
+    # quoted ids, blank lines, Windows line ends, a header in each file
+    names = ",".join(f.name for f in EVENT_CLEAN.fields if f.name not in ("conn", "day"))
+    line = '"%s",2024-01-01 00:00:00,2024-01-01 00:00:00,1,m,o,f,c,t,,ok,5,"{""conn"":""usb,x""}"'
+    folder = tmp_path / "day=2024-01-01"
+    folder.mkdir()
+    (folder / "a.csv").write_text("\r\n".join([names, line % 1, line % 2, "", line % 1, ""]))
+    (folder / "b.csv").write_text("\n".join(['"' + names.replace(",", '","') + '"', line % 3]) + "\n")
+    got = [tuple(r) for r in count_landing(spark, str(tmp_path), DAYS[:1]).collect()]
+    assert got == by_reader(str(tmp_path)) == [(DAYS[0], 4, 3)]

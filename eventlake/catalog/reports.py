@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventlake.catalog.base import BAD_DAY, EV, query, sql
 from eventlake.fixed_values import MODELS, OS_VERSIONS
-from eventlake.functions import json_text, pick
+from eventlake.functions import json_text, pick, utc_clock, utc_day
 from eventlake.plans.report_batches import ingest_batch, read_hot, read_raw
 from eventlake.schemas import BATCH_AUDIT, EXAMPLE_REPORT
 from eventlake.session import new_scratch
@@ -20,7 +20,10 @@ WRITE = {"header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss.
 
 def report_rows(s: SparkSession, d: str) -> DataFrame:
     k = json_text("props", "k").cast("int")
-    ts = F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))
+    def zoned(wall):
+        return F.to_timestamp(F.concat(wall.cast("string"), F.lit("Z")))
+
+    ts = zoned(F.col("ts"))
     info = F.struct(
         pick(MODELS, F.col("user_id") % 12).alias("Model"),
         pick(OS_VERSIONS, F.col("user_id") % 8).alias("OS Version"),
@@ -40,7 +43,8 @@ def report_rows(s: SparkSession, d: str) -> DataFrame:
         ts.alias("updated_at"),
         F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("device_id"),
         F.concat(F.lit("a/"), F.col("event_id").cast("string")).alias("archive_path"),
-        F.when(F.col("event_id") % 11 != 0, ts + F.make_dt_interval(days=k - 50)).alias("device_time"),
+        F.when(F.col("event_id") % 11 != 0, zoned(F.col("ts") + F.make_dt_interval(days=k - 50)))
+         .alias("device_time"),
         F.col("event_type").alias("device_kind"),
         F.when(F.col("event_id") % 13 != 0, summary).alias("summary"),
         (F.col("event_type") == "purchase").alias("in_use"),
@@ -76,9 +80,7 @@ TIMES = ("received_at", "first_seen_at", "device_time")
 
 def _plain_times(df: DataFrame) -> DataFrame:
     """Zoned timestamps as UTC wall time, whatever the session zone is."""
-    zone = F.current_timezone()
-    return df.withColumns({c: F.to_utc_timestamp(c, zone).cast("timestamp_ntz")
-                           for c in TIMES if c in df.columns})
+    return df.withColumns({c: utc_clock(F.col(c)) for c in TIMES if c in df.columns})
 
 
 def _batch_file(s, d, label, rows=None, gzip=True):
@@ -115,7 +117,7 @@ def _(s, d):
        FROM rep""", EV, REPORTS))
 def _(s, d):
     raw = read_raw(s, _loaded(s, d))
-    utc = F.to_utc_timestamp("updated_at", F.current_timezone()).cast("timestamp_ntz")
+    utc = utc_clock(F.col("updated_at"))
     reason = F.regexp_extract("summary", r'"Restart Reason":"(he said .*?then \d+)"', 1)
     return raw.select("id", utc.alias("updated_at"), "note", "day",
                       F.col("summary").isNotNull().alias("has_json"),
@@ -140,8 +142,7 @@ def _(s, d):
 def _(s, d):
     root = _loaded(s, d)
     ingest_batch(s, _batch_file(s, d, "other.csv"), root)
-    shorter = report_rows(s, d).where(F.to_date(F.to_utc_timestamp("updated_at", F.current_timezone()))
-                                      != F.lit(BAD_DAY))
+    shorter = report_rows(s, d).where(utc_day(F.col("updated_at")) != F.lit(BAD_DAY))
     ingest_batch(s, _batch_file(s, d, "2024-batch.csv.gz", shorter), root)
     return read_hot(s, root).groupBy("batch", "day").agg(F.count("*").alias("rows"))
 

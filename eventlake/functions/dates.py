@@ -53,13 +53,20 @@ def in_window(first: date, last: date, column: str = "day") -> Column:
     return F.col(column).between(F.lit(first), F.lit(last))
 
 
+def utc_clock(ts: Column) -> Column:
+    """UTC wall time of a zoned timestamp, whatever the session zone is."""
+    return F.to_utc_timestamp(ts, F.current_timezone()).cast("timestamp_ntz")
+
+
 def utc_day(ts: Column) -> Column:
-    """Calendar day in UTC of a zoned timestamp, whatever the session zone is."""
-    return F.to_date(F.to_utc_timestamp(ts, F.current_timezone()))
+    """Calendar day in UTC of a zoned timestamp."""
+    return F.to_date(utc_clock(ts))
 
 
 def clock_bad(device: Column, server: Column) -> Column:
-    """Device clock too far ahead of or behind the server clock; NULL where either is NULL."""
+    """Device clock too far ahead of or behind the server clock; NULL where either is NULL.
+
+    Takes wall times (see utc_clock): days of zoned timestamps can have 23 or 25 hours."""
     ahead = F.make_dt_interval(F.lit(DEVICE_CLOCK_AHEAD_DAYS))
     behind = F.make_dt_interval(F.lit(DEVICE_CLOCK_BEHIND_DAYS))
     return (device > server + ahead) | (device < server - behind)

@@ -19,6 +19,7 @@ from eventlake.functions import (
     json_path,
     json_schema,
     list_count,
+    utc_clock,
     utc_day,
 )
 from eventlake.operators.dedupe import latest_per_key
@@ -42,7 +43,8 @@ def report_json_schema(spec: ReportSpec) -> T.StructType:
 def hot_columns(spec: ReportSpec, parsed: Column) -> list[Column]:
     columns = [F.col(source).alias(name) for name, source in spec.file_fields.items()]
     columns.append(F.col("day"))
-    columns.append(clock_bad(F.col(spec.device_clock), F.col(spec.server_clock)).alias("clock_bad"))
+    columns.append(clock_bad(utc_clock(F.col(spec.device_clock)), utc_clock(F.col(spec.server_clock)))
+                   .alias("clock_bad"))
     for name, (path, kind) in spec.json_fields.items():
         columns.append(_LEAF[kind](json_path(parsed, path)).alias(name))
     for name, path in spec.durations.items():

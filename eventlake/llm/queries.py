@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import bpe, chat_format, exact_dedup, mixing, quality, simhash
+from eventlake.llm import bpe, chat_format, exact_dedup, itq_dedup, mixing, quality, simhash, surrogates
 from eventlake.llm.common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,17 @@ FROM g"""
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"))
+
+
+# ---- 1 ----------------------------------------------------------------------------------------
+
+@query
+def op1_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+# ---- 5 ----------------------------------------------------------------------------------------
+
+@query
+def op5_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_private(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import bpe, chat_format, exact_dedup, itq_dedup, mixing, quality, simhash, surrogates
+from eventlake.llm import bpe, chat_format, exact_dedup, itq_dedup, mixing, quality, recompression, simhash, surrogates
 from eventlake.llm.common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,27 @@ def op1_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_private(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ---- 10 ---------------------------------------------------------------------------------------
+
+@query
+def op10_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeated_words(read(spark, sf_dir, "documents")).drop("kept")
+
+
+SQL["op10_recompression_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT s, min(doc_id) AS lowest FROM x GROUP BY s),
+gone AS (
+    SELECT DISTINCT doc_id, i + k AS j
+    FROM (SELECT x.doc_id, x.i, unnest(range(13)) AS k FROM x JOIN m USING (s) WHERE lowest < x.doc_id)),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) ANTI JOIN gone USING (doc_id, j)
+    GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""

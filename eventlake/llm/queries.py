@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import bpe, chat_format, exact_dedup, itq_dedup, mixing, quality, recompression, simhash, surrogates
+from eventlake.llm import bpe, chat_format, exact_dedup, itq_dedup, mixing, quality, recompression, simhash, suffix_dedup, surrogates
 from eventlake.llm.common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,10 @@ kept AS (
     GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+# ---- 7 ----------------------------------------------------------------------------------------
+
+@query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")

@@ -29,6 +29,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row in one, so that their names cannot meet an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only. Texts without other letters take the short way, with the same result."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import lower_ascii, stored
+from eventlake.llm.common import lower_ascii, stored, whole_row
 
 #: Bits beyond log2(rows): one in 2**EXTRA_BITS single texts is suspected, and cleared by its bytes.
 EXTRA_BITS = 10
@@ -104,7 +104,7 @@ def suspects(fingerprints: DataFrame, bits: int, rows: int) -> DataFrame:
 
 def _prepared(docs: DataFrame) -> DataFrame:
     norm = lower_ascii(F.coalesce("text", F.lit("")))
-    return docs.withColumn("_norm", norm).withColumn("_sha", F.sha2("_norm", 256)).withColumn("_hash", F.xxhash64("_norm"))
+    return docs.select("doc_id", whole_row(docs).alias("_row"), norm.alias("_norm")).withColumn("_sha", F.sha2("_norm", 256)).withColumn("_hash", F.xxhash64("_norm"))
 
 
 class ExactDedup:
@@ -114,7 +114,6 @@ class ExactDedup:
     text and id, one stays. Other columns are carried and not looked at. Texts of any length are whole."""
 
     def __init__(self, docs: DataFrame):
-        self.columns = docs.columns
         self.base = _prepared(docs)
         light = stored(self.base.select("doc_id", "_sha", "_hash"), "hashes")
         rows = light.count()
@@ -142,4 +141,4 @@ class ExactDedup:
         single = self.base.join(self.suspects, "_fp", "left_anti")
         best = self.base.join(self.suspects, "_fp").join(self.groups.select("_sha", F.col("keep_id").alias("_keep")), "_sha")
         best = best.where(F.col("doc_id").eqNullSafe(F.col("_keep"))).dropDuplicates(["_sha"])
-        return single.select(*self.columns).unionByName(best.select(*self.columns))
+        return single.select("_row").unionByName(best.select("_row")).select("_row.*")

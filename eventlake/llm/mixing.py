@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import WORD, stored
+from eventlake.llm.common import WORD, stored, whole_row
 
 FAN_IN = 48
 MAX_REPEATS = 3
@@ -131,11 +131,11 @@ def mix_documents(docs: DataFrame, seed: int = 42, max_repeats: int = MAX_REPEAT
     """The mix itself: docs' columns, each row as often as it is taken; doc_id, source and text decide.
 
     Rows that agree in doc_id, source and size share their copies, first by text."""
-    sized = docs.withColumn("_size", n_words(F.col("text")))
+    sized = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("_size"), whole_row(docs).alias("_row"))
     copies = mix_units(sized.select("doc_id", "source", F.col("_size").alias("size")), seed, max_repeats)
     summed = copies.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m"))
     both = sized.join(summed, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
     alone = both.where("_m = 1").withColumn("_n", F.lit(0))
     shared = both.where("_m > 1").withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy("text")) - 1)
     taken = alone.unionByName(shared).withColumn("_take", F.floor(F.col("_c") / F.col("_m")) + (F.col("_n") < F.col("_c") % F.col("_m")).cast("long"))
-    return taken.where("_take > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take").cast("long")))).select(*docs.columns)
+    return taken.where("_take > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take").cast("long")))).select("_row.*")

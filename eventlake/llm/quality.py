@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, word_spans
+from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, whole_row, word_spans
 
 BUCKETS_LOG2 = 17
 DIMENSIONS = 12
@@ -167,5 +167,5 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold."""
     good = scores(docs, model).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    rows = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(good, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi").select(*docs.columns)
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), whole_row(docs).alias("_row"))
+    return rows.join(good, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi").select("_row.*")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import TO_LOWER, byte_view, sorted_runs, stored
+from eventlake.llm.common import TO_LOWER, byte_view, sorted_runs, stored, whole_row
 from eventlake.llm.components import components
 
 SHINGLE = 3
@@ -90,8 +90,10 @@ def _cell_links(max_bits: int):
             left = table["side"].to_numpy() == 0
             lefts = np.concatenate(([0], np.cumsum(left)))
             n_left = lefts[bounds[1:]] - lefts[bounds[:-1]]
-            # besides its own entry on either side, a run needs another
-            busy = np.flatnonzero((n_left > 0) & (np.diff(bounds) > 2))
+            # alone, a fingerprint meets itself
+            size = np.diff(bounds)
+            itself = (size == 2) & (fp[bounds[:-1]] == fp[bounds[1:] - 1])
+            busy = np.flatnonzero((n_left > 0) & (n_left < size) & ~itself)
             edges: list[np.ndarray] = []
             for r in busy:
                 run = slice(bounds[r], bounds[r + 1])
@@ -156,6 +158,6 @@ class SimHashDedup:
         with that id, the one with the smallest fingerprint stays."""
         ids = self.prints.join(self.nodes.select("fp", "root", "component_id"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
         best = ids.groupBy("root").agg(F.min(F.struct("fp", "text_hash", "doc_id")).alias("b")).select(F.col("b.doc_id").alias("_d"), F.col("b.text_hash").alias("_h"))
-        rows = self.docs.withColumn("_t", _text_hash())
+        rows = self.docs.select("doc_id", _text_hash().alias("_t"), whole_row(self.docs).alias("_row"))
         rows = rows.join(best, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")))
-        return rows.dropDuplicates(["_d", "_h"]).select(*self.docs.columns)
+        return rows.dropDuplicates(["_d", "_h"]).select("_row.*")

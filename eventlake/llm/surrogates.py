@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import stored
+from eventlake.llm.common import stored, whole_row
 
 _EDGE = r"[\p{L}\p{N}._%+-]"
 _TITLES = {"m": ["Mr", "Herr", "Sr", "Señor", "Monsieur", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Madame", "Mme", "Госпожа"]}
@@ -186,10 +186,11 @@ def replace_private(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """docs with its text's private data replaced, and n_replaced (long), the number of mentions.
 
     Documents without private data stay as they are; a null text stays null. Repeated rows get equal texts. Other columns are carried."""
-    held = docs.withColumn("_found", mentions(F.coalesce("text", F.lit(""))))
+    docs = docs.drop("n_replaced")
+    held = docs.select("text", whole_row(docs).alias("_row"), mentions(F.coalesce("text", F.lit(""))).alias("_found"))
     # the clean ones are not moved
-    clean = held.where(F.size("_found") == 0).drop("_found").withColumn("n_replaced", F.lit(0).cast("long"))
-    private = stored(held.where(F.size("_found") > 0).withColumn("_key", F.xxhash64("text")), "private")
+    clean = held.where(F.size("_found") == 0).select("_row.*", F.lit(0).cast("long").alias("n_replaced"))
+    private = stored(held.where(F.size("_found") > 0).select("_row", "_found", "text", F.xxhash64("text").alias("_key")), "private")
     in_text = private.select("_key", F.explode(F.flatten(F.transform("_found", parts))).alias("p")).where("p.kind <> ''")
     in_text = in_text.select("_key", F.col("p.kind").alias("kind"), _folded(F.col("p.kind"), F.col("p.value")).alias("value")).distinct()
     wanted = stored(in_text, "mentions")
@@ -201,5 +202,5 @@ def replace_private(docs: DataFrame, key: str = "surrogates") -> DataFrame:
         _dressed(p["kind"], p["value"], F.element_at(F.col("_map"), _name(p["kind"], p["value"]))))), ""))
     between = F.split(F.col("text"), ANY, -1)
     text = F.array_join(F.zip_with(between, fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = both.withColumn("n_replaced", F.size("_found").cast("long")).withColumn("text", text)
-    return clean.unionByName(done.select(*clean.columns))
+    done = both.select(F.col("_row").withField("text", text).alias("_row"), F.size("_found").cast("long").alias("n_replaced"))
+    return clean.unionByName(done.select("_row.*", "n_replaced"))

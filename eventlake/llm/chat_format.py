@@ -37,7 +37,7 @@ class Template:
     def controls(self) -> list[str]:
         """Longest first, so that none hides another."""
         all_of = [self.bos, self.eos, *self.role_marks, *(m for pair in self.marks.values() for m in pair)]
-        return sorted(set(all_of), key=lambda s: (-len(s), s))
+        return sorted({s for s in all_of if s}, key=lambda s: (-len(s), s))
 
 
 DEFAULT = Template()

@@ -165,10 +165,12 @@ def _link_runs(index: Index, threshold: float):
                 near = _meeting(seg[run], k & ((1 << index.segment_bits) - 1), k >> index.segment_bits & 0xFF, index.max_bits, blk[run], bool(corner[run.start]))
                 near &= unit[run] @ unit[run].T >= threshold
                 near |= near.T
-                if near.any():
-                    root = cell_components(near)[: len(near)]
-                    has = root >= 0
-                    out.append(np.stack((node[run][has], node[run][root[has]], (near @ copies[run])[has]), axis=1))
+                has = near.any(axis=1)
+                if has.any():
+                    links = near @ copies[run]
+                    # rows and columns are the same nodes
+                    root = cell_components(near | np.diag(has))[: len(near)]
+                    out.append(np.stack((node[run][has], node[run][root[has]], links[has]), axis=1))
             if out:
                 a = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([pa.array(a[:, i]) for i in range(3)], names=["node", "root", "links"])

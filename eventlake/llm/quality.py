@@ -20,7 +20,8 @@ from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, wh
 
 BUCKETS_LOG2 = 17
 DIMENSIONS = 12
-EPOCHS = 12
+#: Steps of gradient descent, over as many epochs as that takes.
+STEPS = 12_000
 RATE = 0.5
 #: Labelled documents for training, at most: the bound of what reaches the driver.
 SAMPLE = 3000
@@ -90,11 +91,11 @@ def train(labelled: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) ->
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (size, DIMENSIONS)).astype(np.float32)
     out = np.zeros((DIMENSIONS, 2), np.float32)
     bias = np.zeros(2, np.float32)
-    steps, step = EPOCHS * len(labelled), 0
-    for _ in range(EPOCHS):
-        for i in rng.permutation(len(labelled)):
+    step = 0
+    while step < STEPS:
+        for i in rng.permutation(len(labelled))[: STEPS - step]:
             y, bucket, count = labelled[i]
-            rate = np.float32(RATE * (1 - step / steps))
+            rate = np.float32(RATE * (1 - step / STEPS))
             step += 1
             total = max(1, count.sum())
             share = (count / total).astype(np.float32)

@@ -164,7 +164,8 @@ def dictionary(values: DataFrame, key: str) -> DataFrame:
             return drawn.select("kind", "value", "surrogate")
         again = drawn.join(losers.withColumn("lost", F.lit(True)), ["kind", "value"], "left")
         tries = F.col("attempt") + F.when(F.col("lost"), 1).otherwise(0)
-        drawn = stored(again.withColumn("attempt", tries).withColumn("surrogate", F.when(F.col("lost"), _surrogate(key, F.col("kind"), F.col("value"), tries)).otherwise(F.col("surrogate"))).drop("lost"), "drawn")
+        fresh = F.when(F.col("lost"), _surrogate(key, F.col("kind"), F.col("value"), tries)).otherwise(F.col("surrogate"))
+        drawn = stored(again.select("kind", "value", tries.alias("attempt"), fresh.alias("surrogate")), "drawn")
 
 
 def _dressed(kind: Column, original: Column, surrogate: Column) -> Column:

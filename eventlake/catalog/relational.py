@@ -23,7 +23,7 @@ from eventlake.functions import (
     as_bigint,
     as_double,
     clock_bad,
-    date_range,
+    asked_days,
     day_from_path,
     duration_minutes,
     fail_pct,
@@ -77,7 +77,7 @@ def _(s, d):
 @query("open_ended_date_range", sql(
     "SELECT day, count(*) AS events FROM ev WHERE day >= DATE '2024-01-20' GROUP BY 1"))
 def _(s, d):
-    asked = date_range(MONTH, first=FIRST_DAY.replace(day=20))
+    asked = asked_days(MONTH, first=FIRST_DAY.replace(day=20))
     return device_events(s, d, *asked).where(in_window(*asked)).groupBy("day").agg(
         F.count("*").alias("events"))
 

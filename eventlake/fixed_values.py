@@ -23,8 +23,6 @@ MAX_LATE_HOURS = 6
 # Layout parameters.
 SORT_KEY = ("status", "error_code", "device_model", "event_ts")
 TINY_FILES_PER_DAY = 50
-BASELINE_MAX_ROWS = 10_000_000
-SINGLE_MAX_ROWS = 100_000_000
 RESEND_ONE_IN = 1000
 
 SORTED_ROW_GROUP_BYTES = 16 * 1024 * 1024
@@ -32,6 +30,7 @@ SORTED_ROW_GROUP_BYTES = 16 * 1024 * 1024
 # Limits of a governed read.
 MAX_WINDOW_DAYS = 31
 MAX_ROWS = 1000
+MAX_PAIRS = 100_000
 SCAN_BUDGET_MB = 10
 MAX_RESULT_KB = 256
 
@@ -41,6 +40,5 @@ MIN_BILLED_MB = 10
 
 # Report batches.
 RAW_ROW_GROUP_BYTES = 50_000_000
-MAX_LINE_CHARS = 20_000_000
 DEVICE_CLOCK_AHEAD_DAYS = 1
 DEVICE_CLOCK_BEHIND_DAYS = 30

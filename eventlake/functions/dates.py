@@ -2,55 +2,66 @@
 
 from __future__ import annotations
 
-import re
 from datetime import date, timedelta
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventlake.fixed_values import DEVICE_CLOCK_AHEAD_DAYS, DEVICE_CLOCK_BEHIND_DAYS
 
-_ISO_DAY = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
-
 
 def parse_day(text: str) -> date:
-    """Strict YYYY-MM-DD."""
-    if not _ISO_DAY.fullmatch(text):
-        raise ValueError(f"{text!r} must be written as YYYY-MM-DD")
+    """The day whose ISO form is this text, and no other spelling of it."""
     try:
-        return date.fromisoformat(text)
+        day = date.fromisoformat(text)
     except ValueError:
-        raise ValueError(f"{text!r} is no calendar date") from None
+        day = None
+    if day is None or day.isoformat() != text:
+        raise ValueError(f"{text!r} is no day written as YYYY-MM-DD")
+    return day
+
+
+class DayRange(NamedTuple):
+    """A closed range of days; it is empty if it ends before it begins."""
+
+    first: date
+    last: date
+
+    def __and__(self, other: DayRange) -> DayRange:
+        return DayRange(max(self.first, other.first), min(self.last, other.last))
+
+    def filter(self, column: str = "day") -> Column:
+        """On the raw day column with literal dates, so that partitions are pruned."""
+        return F.col(column).between(F.lit(self.first), F.lit(self.last))
 
 
-def window(end: date, days: int, start: date | None = None) -> tuple[date, date]:
+def window(end: date, days: int, start: date = date.min) -> DayRange:
     """The last `days` days ending on `end`, not reaching before `start`."""
-    first = end - timedelta(days=days - 1)
-    return (max(first, start) if start else first), end
+    return DayRange(end - timedelta(days=days - 1), end) & DayRange(start, date.max)
 
 
-def date_range(covered: tuple[date, date], on: date | None = None,
-               first: date | None = None, last: date | None = None) -> tuple[date, date] | None:
-    """Resolve one day, or a range with open ends, against the days a table covers.
+def asked_days(covered: tuple[date, date], on: date | None = None,
+               first: date | None = None, last: date | None = None) -> DayRange | None:
+    """What a caller asks of a table that covers some days: one day, or a range whose open end is the table's.
 
     None means that no restriction was asked for."""
-    if on is not None and (first is not None or last is not None):
+    table = DayRange(*covered)
+    ends = [d for d in (first, last) if d is not None]
+    if on is not None and ends:
         raise ValueError("one day and a range of days exclude each other")
-    if on is None and first is None and last is None:
+    if on is None and not ends:
         return None
-    lo = on or first or covered[0]
-    hi = on or last or covered[1]
-    for day in (lo, hi):
-        if day < covered[0] or day > covered[1]:
-            raise ValueError(f"{day} is not covered, the table holds {covered[0]} to {covered[1]}")
-    if lo > hi:
-        raise ValueError(f"the range ends on {hi}, before it starts on {lo}")
-    return lo, hi
+    asked = DayRange(on, on) if on else DayRange(first or table.first, last or table.last)
+    if asked.first > asked.last and all(table.first <= d <= table.last for d in ends):
+        raise ValueError(f"the range ends on {asked.last}, before it starts on {asked.first}")
+    if asked & table != asked:
+        raise ValueError(f"{asked.first} to {asked.last} is not covered, the table holds {table.first} to {table.last}")
+    return asked
 
 
 def in_window(first: date, last: date, column: str = "day") -> Column:
-    """Closed window on the raw day column with literal dates, so that partitions are pruned."""
-    return F.col(column).between(F.lit(first), F.lit(last))
+    return DayRange(first, last).filter(column)
 
 
 def utc_clock(ts: Column) -> Column:

@@ -40,7 +40,7 @@ def json_path(parsed: Column, path: JsonPath) -> Column:
 
 
 # A cast that fails costs an exception per row, so text that cannot be a number is kept from it.
-_NUMBER_LIKE = r"^\s*[+-]?[0-9.iInN]"
+_NUMBER_LIKE = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:nan|inf|infinity))\s*$"
 _DIGITS = r"^\s*[+-]?[0-9]+\s*$"
 
 
@@ -64,5 +64,7 @@ def list_count(items: Column) -> Column:
 
 def is_malformed(text: Column) -> Column:
     """True where text is present but is not exactly one JSON value."""
-    one_item = F.json_array_length(F.concat(F.lit("["), text, F.lit("]")))
-    return text.isNotNull() & (F.coalesce(one_item, F.lit(0)) != 1)
+    # a mark behind the value is only the second item if nothing else is; no text holds its own hash
+    mark = F.xxhash64(text).cast("string")
+    second = F.get_json_object(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), "$[1]")
+    return text.isNotNull() & ~second.eqNullSafe(mark)

@@ -45,9 +45,7 @@ def ingest_days(spark: SparkSession, landing: str, root: str, days: list[date],
     arrived = read_landing(spark, landing).where(F.col("day").isin(asked))
     staged = f"{root}/_incoming/{new_scratch(spark, 'days').rsplit('/', 1)[-1]}"
 
-    # For one day the shuffle of the de-duplication already spreads the rows evenly over the
-    # files to be; only several days at once need a second shuffle to keep days together.
-    write_sorted(clean(arrived), staged, rebalance=len(asked) > 1)
+    write_sorted(clean(arrived), staged)
 
     came = count_landing(spark, landing, asked)
     kept = (spark.read.schema(EVENT_CLEAN).parquet(staged)

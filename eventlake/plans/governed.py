@@ -10,12 +10,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.fixed_values import MAX_RESULT_KB, MAX_ROWS, MAX_WINDOW_DAYS, SCAN_BUDGET_MB
+from eventlake.fixed_values import MAX_PAIRS, MAX_RESULT_KB, MAX_ROWS, MAX_WINDOW_DAYS, SCAN_BUDGET_MB
 from eventlake.functions import json_text
 from eventlake.operators.scan_estimate import estimate_scan
 from eventlake.session import compute_once
@@ -113,8 +114,8 @@ class Answer:
         return self.df.collect() if self.df is not None else []
 
 
-def check(request: Request) -> tuple[int, str]:
-    """All rules that need no data. Returns the limit to use and a note about it."""
+def check(request: Request, max_rows: int = MAX_ROWS, max_window_days: int = MAX_WINDOW_DAYS) -> tuple[int, bool]:
+    """All rules that need no data. Returns the limit to use, and whether the caller asked for it."""
     for source in _sources(request):
         if source.table not in APPROVED:
             raise Refused(f"{source.table!r} is no approved table, there are: {', '.join(APPROVED)}")
@@ -125,7 +126,7 @@ def check(request: Request) -> tuple[int, str]:
             if not all(v is None or isinstance(v, PLAIN) for v in values):
                 raise Refused("filters compare with plain values only")
         if source.table == EVENTS:
-            _check_window(source)
+            _check_window(source, max_window_days)
     for a in request.aggregates:
         if a.function not in AGGREGATES:
             raise Refused(f"function {a.function!r} is not offered, there are: {', '.join(AGGREGATES)}")
@@ -136,70 +137,107 @@ def check(request: Request) -> tuple[int, str]:
     if not request.every_column and not outputs.issuperset(c for c, _ in request.order_by):
         raise Refused("order by columns that are given out")
     limit = request.limit
-    if type(limit) is not int or not 0 <= limit <= MAX_ROWS:
-        return MAX_ROWS, f"limit {MAX_ROWS} was set"
-    return limit, ""
+    if type(limit) is not int or not 0 <= limit <= max_rows:
+        return max_rows, False
+    return limit, True
 
 
 def _sources(request: Request) -> list[Source]:
     return [s for s in (request.source, request.join) if s is not None]
 
 
-def _check_window(source: Source) -> None:
+def _check_window(source: Source, max_window_days: int) -> None:
     for day in (source.first, source.last):
         if day is None:
             raise Refused(f"each copy of {EVENTS} needs a first and a last day; {CHEAPER}")
         if type(day) is not date:
             raise Refused(f"the window has to be plain dates, not {day!r}")
-    if (source.last - source.first).days + 1 > MAX_WINDOW_DAYS:
-        raise Refused(f"the window on {EVENTS} spans more than {MAX_WINDOW_DAYS} days; {CHEAPER}")
+    if (source.last - source.first).days + 1 > max_window_days:
+        raise Refused(f"the window on {EVENTS} spans more than {max_window_days} days; {CHEAPER}")
 
 
 class GovernedReader:
     """Runs requests against approved tables.
 
     `stats` are the row-group statistics of the events layout, best read from a saved table.
-    Only the events are priced: the other tables are small."""
+    Only the events are priced: the other tables are small. Nothing is cut off unasked: a result of more than max_rows
+    rows, without a smaller limit in the request, is refused, and so is a join without aggregates that forms more
+    than max_pairs pairs."""
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], stats: DataFrame,
-                 budget_mb: float = SCAN_BUDGET_MB, max_result_kb: float = MAX_RESULT_KB):
+                 budget_mb: float = SCAN_BUDGET_MB, max_result_kb: float = MAX_RESULT_KB,
+                 max_rows: int = MAX_ROWS, max_window_days: int = MAX_WINDOW_DAYS, max_pairs: int = MAX_PAIRS):
         self.spark = spark
         self.tables = {name: tables[name] for name in APPROVED if name in tables}
         self.stats = stats
         self.budget_mb = budget_mb
         self.max_result_kb = max_result_kb
+        self.max_rows = max_rows
+        self.max_window_days = max_window_days
+        self.max_pairs = max_pairs
 
     def run(self, request: Request) -> Answer:
+        return self._run([request])
+
+    def run_union(self, *requests: Request) -> Answer:
+        """Distinct rows of several requests. Each has to pass on its own, and all together have one scan budget and one
+        result cap."""
+        return self._run(list(requests))
+
+    def _run(self, requests: list[Request]) -> Answer:
         try:
-            limit, note = check(request)
-            self._check_columns(request)
-            mb = self.scan_mb(request)
+            limits = [check(r, self.max_rows, self.max_window_days) for r in requests]
+            for r in requests:
+                self._check_columns(r)
+            mb = sum(self.scan_mb(r) for r in requests)
             if mb > self.budget_mb:
                 raise Refused(f"it would read about {mb:,.2f} MB and the budget is {self.budget_mb} MB, "
                               f"ask for fewer days or columns; {CHEAPER}")
-            result = compute_once(self.frame(request).limit(limit))
-            kb = result_kb(result)
-            if kb > self.max_result_kb:
-                raise Refused(f"the result has about {kb:,.0f} KB and the cap is {self.max_result_kb} KB, "
-                              "ask for fewer columns or aggregate more")
+            for r in requests:
+                self._check_pairs(r)
+            arms = []
+            for r, (limit, own) in zip(requests, limits, strict=True):
+                arm = self.frame(r)
+                if len(requests) > 1 and not own:
+                    arm = arm.distinct()
+                # one row more than may be given out tells whether there are more
+                arms.append(arm.limit(limit if own else limit + 1))
+            merged = reduce(DataFrame.unionByName, arms)
+            if len(arms) > 1:
+                merged = merged.distinct().limit(self.max_rows + 1)
+            result = compute_once(merged)
+            self._check_result(result)
         except Refused as why:
             return Answer("refused", str(why))
         except PySparkException as why:
             return Answer("refused", f"Spark could not run it: {str(why).splitlines()[0]}")
-        return Answer("ok", note, result, mb)
-
-    def run_union(self, *requests: Request) -> Answer:
-        """Distinct rows of several requests; each one has to pass on its own."""
-        answers = [self.run(r) for r in requests]
-        for a in answers:
-            if a.status != "ok":
-                return a
-        merged = answers[0].df
-        for a in answers[1:]:
-            merged = merged.unionByName(a.df)
-        notes = "; ".join(sorted({a.note for a in answers if a.note}))
-        return Answer("ok", notes, compute_once(merged.distinct().limit(MAX_ROWS)),
-                      sum(a.mb_scanned for a in answers))
+        return Answer("ok", "", result, mb)
+
+    def _check_result(self, result: DataFrame) -> None:
+        if (rows := result.count()) > self.max_rows:
+            raise Refused(f"the result has more than {rows - 1} rows, which is the most that is given out; "
+                          "aggregate more, or ask for a limit")
+        kb = result_kb(result)
+        if kb > self.max_result_kb:
+            raise Refused(f"the result has about {kb:,.0f} KB and the cap is {self.max_result_kb} KB, "
+                          "ask for fewer columns or aggregate more")
+
+    def _check_pairs(self, request: Request) -> None:
+        """Counts the pairs of a join without aggregates from counts per key, before any is formed."""
+        if request.join is None or request.aggregates:
+            return
+        keys = self._join_keys(request)
+        left = self._bounded(request.source).groupBy(*[F.col(a).alias(f"k{i}") for i, (a, _) in enumerate(keys)]).agg(F.count("*").alias("n"))
+        right = self._bounded(request.join).groupBy(*[F.col(b).alias(f"k{i}") for i, (_, b) in enumerate(keys)]).agg(F.count("*").alias("m"))
+        pairs = left.join(right, [f"k{i}" for i in range(len(keys))]).agg(F.sum(F.col("n") * F.col("m")).alias("pairs")).first()["pairs"] or 0
+        if pairs > self.max_pairs:
+            raise Refused(f"the join forms {pairs:,} pairs and the cap is {self.max_pairs:,}; filter more, or ask for aggregates")
+
+    @staticmethod
+    def _join_keys(request: Request) -> list[tuple[str, str]]:
+        if not request.join_on:
+            raise Refused("a join needs columns to join on")
+        return list(request.join_on)
 
     def scan_mb(self, request: Request) -> float:
         """Estimated MB of the event columns mentioned; 0 for requests on small tables."""
@@ -233,18 +271,18 @@ class GovernedReader:
         """Join two bounded tables. Where only aggregates are asked for, equal rows of a side are
         first counted together, so that a device with very many events on both sides meets itself
         once and not once per pair of events; the counts then weigh the aggregates."""
-        if not request.join_on:
-            raise Refused("a join needs columns to join on")
+        keys = self._join_keys(request)
         left, right = self._bounded(request.source), self._bounded(request.join)
         if request.aggregates:
-            used = _mentioned(request)
+            # filters have been applied, so their columns need not tell rows apart
+            used = _given_out(request)
             left, right = (
                 df.groupBy(*[c for c in df.columns if c in used]).agg(F.count("*").alias(n))
                 for df, n in ((left, "_copies_l"), (right, "_copies_r"))
             )
         left, right = left.alias("l"), right.alias("r")
         on = F.lit(True)
-        for a, b in request.join_on:
+        for a, b in keys:
             on = on & (F.col(f"l.{a}") == F.col(f"r.{b}"))
         weight = F.col("_copies_l") * F.col("_copies_r") if request.aggregates else None
         return left.join(right, on), weight
@@ -288,18 +326,24 @@ def _aggregate(a: Aggregate, weight: Column | None) -> Column:
     return out.alias(a.alias)
 
 
-def _mentioned(request: Request) -> set[str]:
-    refs: list[Ref] = [*request.columns.values()]
-    refs += [a.column for a in request.aggregates if a.column is not None]
-    for source in _sources(request):
-        refs += [f.column for f in source.filters]
-        if source.first is not None:
-            refs.append("day")
-    refs += [c for pair in request.join_on for c in pair]
+def _names(refs: Sequence[Ref]) -> set[str]:
     names = [r.column if isinstance(r, JsonField) else r for r in refs]
     return {n.removeprefix("l.").removeprefix("r.") for n in names}
 
 
+def _given_out(request: Request) -> set[str]:
+    """Columns that outputs, aggregates and the join look at."""
+    return _names([*request.columns.values(), *(a.column for a in request.aggregates if a.column is not None),
+                   *(c for pair in request.join_on for c in pair)])
+
+
+def _mentioned(request: Request) -> set[str]:
+    """All columns that have to be read."""
+    own = _names([f.column for source in _sources(request) for f in source.filters])
+    days = {"day"} if any(s.first is not None for s in _sources(request)) else set()
+    return _given_out(request) | own | days
+
+
 def result_kb(result: DataFrame) -> float:
     """Size of a limited result as text, added up by Spark and not on the driver."""
     # NULL fields are written out, so a wide result of NULLs has a size too

@@ -13,19 +13,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.fixed_values import (
-    BASELINE_MAX_ROWS,
-    SINGLE_MAX_ROWS,
-    SORT_KEY,
-    SORTED_ROW_GROUP_BYTES,
-    TINY_FILES_PER_DAY,
-)
+from eventlake.fixed_values import SORT_KEY, SORTED_ROW_GROUP_BYTES, TINY_FILES_PER_DAY
 from eventlake.functions import json_text
 from eventlake.operators.rollups import rollup_daily_errors, rollup_daily_health
 from eventlake.schemas import EVENT_CLEAN
 from eventlake.sources import hadoop_files as hf
 from eventlake.sources.events import CSV_WRITE, LAYOUTS, error_codes, read_layout
-from eventlake.sources.views import SMALL_TABLES
+from eventlake.sources.files import list_files
+from eventlake.sources.views import SMALL_TABLES, read_small_table
 
 
 def with_conn(events: DataFrame) -> DataFrame:
@@ -40,10 +35,12 @@ def in_layout_order(events: DataFrame, sort_by: Iterable[str] = SORT_KEY) -> Dat
 
 
 def _write_days(df: DataFrame, path: str, *folders: str, replace_days: bool = False,
-                row_group_bytes: int | None = None) -> None:
+                row_group_bytes: int | None = None, rows_per_file: int = 0) -> None:
     writer = df.write.mode("overwrite").option("compression", "zstd").partitionBy("day", *folders)
     if row_group_bytes:
         writer = writer.option("parquet.block.size", row_group_bytes)
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     if replace_days:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     else:
@@ -56,12 +53,10 @@ def write_by_day(events: DataFrame, path: str, replace_days: bool = False) -> No
     _write_days(events.hint("rebalance", "day"), path, replace_days=replace_days)
 
 
-def write_sorted(cleaned: DataFrame, path: str, replace_days: bool = False,
-                 rebalance: bool = True) -> None:
+def write_sorted(cleaned: DataFrame, path: str, replace_days: bool = False) -> None:
     """The cleaned layer: day folders whose files are sorted, so that rare failures sit together
-    and readers can skip the rest. Pass rebalance=False if rows are well spread already."""
-    spread = cleaned.hint("rebalance", "day") if rebalance else cleaned
-    ordered = in_layout_order(spread.select(*EVENT_CLEAN.fieldNames()))
+    and readers can skip the rest."""
+    ordered = in_layout_order(cleaned.hint("rebalance", "day").select(*EVENT_CLEAN.fieldNames()))
     # small row groups, so that sorted values leave many of them to skip
     _write_days(ordered, path, replace_days=replace_days, row_group_bytes=SORTED_ROW_GROUP_BYTES)
 
@@ -70,16 +65,11 @@ def write_tiny_files(events: DataFrame, path: str, per_day: int = TINY_FILES_PER
                      replace_days: bool = False, max_rows_per_file: int = 5_000_000) -> None:
     """Many small files per day, as a streaming loader leaves them; kept as the bad example.
 
-    Not rebalanced: adaptive execution would put thousands of small files into one task. Chunks
-    of a day too large for that are split by the row count of the day."""
+    Not rebalanced: adaptive execution would put thousands of small files into one task."""
     spread = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows_per_day = events.groupBy("day").agg(
-        F.ceil(F.count("*") / (per_day * max_rows_per_file)).alias("_pieces"))
-    chunked = events.withColumn("chunk", F.pmod("event_id", F.lit(per_day)).cast("int")).join(
-        rows_per_day, "day")
-    piece = F.pmod(F.xxhash64("event_id"), F.col("_pieces"))
-    placed = chunked.repartition(spread, "day", "chunk", piece).select(*events.columns, "chunk")
-    _write_days(placed, path, "chunk", replace_days=replace_days)
+    chunked = events.withColumn("chunk", F.pmod("event_id", F.lit(per_day)).cast("int"))
+    _write_days(chunked.repartition(spread, "day", "chunk"), path, "chunk", replace_days=replace_days,
+                rows_per_file=max_rows_per_file)
 
 
 def write_single(events: DataFrame, path: str) -> None:
@@ -93,21 +83,37 @@ def write_csv(events: DataFrame, path: str) -> None:
     events.hint("rebalance").write.mode("overwrite").options(**CSV_WRITE).csv(path)
 
 
+ROLLUPS = (("rollup_daily_health", rollup_daily_health), ("rollup_daily_errors", rollup_daily_errors))
+
+
 def write_rollups(events: DataFrame, root: str, days: list[date] | None = None) -> None:
-    """Build both daily roll-ups, for all days or only for days that were touched."""
+    """Build both daily roll-ups, for all days or only for days that were touched.
+
+    A folder per month holds a few files sorted by day, so a year of days is no thousand tiny files. Touched days are
+    built again and put together with the others of their months; a month is replaced whole."""
     spark = events.sparkSession
-    if days is not None:
-        events = events.where(F.col("day").isin(days))
-    for name, rollup in (("rollup_daily_health", rollup_daily_health),
-                         ("rollup_daily_errors", rollup_daily_errors)):
+    touched = events if days is None else events.where(F.col("day").isin(days))
+    months = {f"{d:%Y-%m}" for d in days or ()}
+    for name, rollup in ROLLUPS:
         path = f"{root}/{SMALL_TABLES[name][0]}"
-        rows = rollup(events).hint("rebalance", "day")
-        if days is None:
-            _write_days(rows, path)
-        else:
-            staged = f"{root}/_incoming/{name}-{uuid.uuid4().hex[:12]}"
-            _write_days(rows, staged)
-            hf.replace_days(spark, staged, path, days)
+        rows = rollup(touched)
+        if days is not None and hf.exists(spark, path):
+            month = F.date_format("day", "yyyy-MM")
+            rest = read_small_table(spark, root, name).where(month.isin(sorted(months)) & ~F.col("day").isin(days))
+            rows = rows.unionByName(rest)
+        staged = f"{root}/_incoming/{name}-{uuid.uuid4().hex[:12]}"
+        placed = rows.withColumn("month", F.date_format("day", "yyyy-MM"))
+        (placed.hint("rebalance", "month").sortWithinPartitions("month", *[c for c in ("day", "status", "error_code") if c in placed.columns])
+         .write.option("compression", "zstd").partitionBy("month").parquet(staged))
+        built = {n for n in hf.child_names(spark, staged) if n.startswith("month=")}
+        old = {n for n in hf.child_names(spark, path) if n.startswith("month=")}
+        gone = old - built if days is None else {f"month={m}" for m in months} & old - built
+        moves = {n: (f"{staged}/{n}", f"{path}/{n}") for n in built} | {n: (None, f"{path}/{n}") for n in gone}
+        hf.recover(spark, lambda n, path=path: f"{path}/{n}", f"{path}_journal")
+        hf.publish(spark, moves, f"{path}_journal")
+        if not hf.exists(spark, path):
+            rows.limit(0).write.mode("overwrite").parquet(path)
+        hf.drop(spark, staged)
 
 
 def write_error_codes(spark: SparkSession, root: str, first: int = 1000, count: int = 200) -> None:
@@ -121,44 +127,75 @@ def missing_days(spark: SparkSession, root: str, layout: str, wanted: Iterable[d
     return sorted(set(wanted) - set(present))
 
 
+def _source_state(spark: SparkSession, root: str) -> dict[date, tuple[int, int, str]]:
+    """Files, bytes and time of the last change of each day of the by_day layout, from one listing."""
+    listed = list_files(spark, f"{root}/by_day", "*.parquet")
+    day = F.to_date(F.regexp_extract("path", r"day=(\d{4}-\d{2}-\d{2})", 1))
+    rows = listed.groupBy(day.alias("day")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("modificationTime").cast("string").alias("changed"))
+    return {r["day"]: (r["files"], r["bytes"], r["changed"]) for r in rows.collect()}
+
+
+_STATE = "layout string, day date, files long, bytes long, changed string"
+
+
+def _built_from(spark: SparkSession, root: str) -> dict[str, dict[date, tuple[int, int, str]]]:
+    """What each layout was built from, as build_layouts() noted."""
+    out: dict[str, dict[date, tuple[int, int, str]]] = {}
+    if hf.exists(spark, f"{root}/_built_from"):
+        for r in spark.read.schema(_STATE).parquet(f"{root}/_built_from").collect():
+            out.setdefault(r["layout"], {})[r["day"]] = (r["files"], r["bytes"], r["changed"])
+    return out
+
+
 def build_layouts(spark: SparkSession, root: str, force: bool = False,
-                  baseline_max_rows: int = BASELINE_MAX_ROWS,
-                  single_max_rows: int = SINGLE_MAX_ROWS) -> list[str]:
-    """Build the other layouts, the lookup and the roll-ups from the by_day layout under a root.
-
-    Finished days and tables are left alone unless forced; roll-ups are always built again, over
-    all days of the cleaned layer.
-    CSV and tiny files exist for comparison and are left out above baseline_max_rows, the
-    single table above single_max_rows."""
-    days = hf.present_days(spark, f"{root}/by_day")
-    if not days:
+                  layouts: Iterable[str] = ("sorted", "tiny_files", "single", "csv")) -> list[str]:
+    """Build the named layouts, the lookup and the roll-ups from the by_day layout under a root, at any size.
+
+    What was built before is left alone as long as its days are as they were: days that are new, changed or gone are built
+    again, single and csv as a whole. Roll-ups follow the days of the cleaned layer that were touched. Roll-ups need
+    the layout sorted."""
+    now = _source_state(spark, root) if hf.exists(spark, f"{root}/by_day") else {}
+    if not now:
         raise FileNotFoundError(f"there are no days under {root}/by_day")
     events = read_layout(spark, root, "by_day")
-    rows = events.count()
+    before = {} if force else _built_from(spark, root)
     built = []
-
-    def wanted(layout: str) -> list[date]:
-        return days if force else missing_days(spark, root, layout, days)
-
-    def absent(layout: str) -> bool:
-        return force or not hf.exists(spark, f"{root}/{LAYOUTS[layout][0]}/_SUCCESS")
-
-    if todo := wanted("sorted"):
-        part = events.where(F.col("day").isin(todo))
-        write_sorted(with_conn(part), f"{root}/sorted", replace_days=True)
-        built.append("sorted")
-    if rows <= baseline_max_rows and (todo := wanted("tiny_files")):
-        part = events.where(F.col("day").isin(todo))
-        write_tiny_files(part, f"{root}/tiny_files", replace_days=True)
-        built.append("tiny_files")
-    if rows <= baseline_max_rows and absent("csv"):
-        write_csv(events, f"{root}/csv")
-        built.append("csv")
-    if rows <= single_max_rows and absent("single"):
-        write_single(events, f"{root}/single")
-        built.append("single")
+    wanted = list(dict.fromkeys(layouts))
+    if unknown := set(wanted) - set(LAYOUTS) - {"by_day"}:
+        raise ValueError(f"there is no layout {', '.join(sorted(unknown))}")
+
+    def stale(layout: str) -> list[date]:
+        """Days to build again, from what was noted; a layout that is not there is built whole."""
+        path = f"{root}/{LAYOUTS[layout][0]}"
+        old = before.get(layout, {}) if hf.exists(spark, path) else {}
+        return sorted(d for d in now.keys() | old.keys() if now.get(d) != old.get(d))
+
+    def note(layout: str) -> None:
+        before[layout] = dict(now)
+        rows = [(name, d, *state) for name, days in before.items() for d, state in days.items()]
+        staged = f"{root}/_incoming/built_from-{uuid.uuid4().hex[:12]}"
+        spark.createDataFrame(rows, _STATE).coalesce(1).write.parquet(staged)
+        hf.publish(spark, {"note": (staged, f"{root}/_built_from")}, f"{root}/_built_from_journal")
+        built.append(layout)
+
+    by_day = {"sorted": lambda part, path: write_sorted(with_conn(part), path), "tiny_files": write_tiny_files}
+    for name in (n for n in by_day if n in wanted):
+        if todo := stale(name):
+            staged = f"{root}/_incoming/{name}-{uuid.uuid4().hex[:12]}"
+            by_day[name](events.where(F.col("day").isin(todo)), staged)
+            hf.replace_days(spark, staged, f"{root}/{name}", todo)
+            if name == "sorted":
+                fresh = not hf.exists(spark, f"{root}/{SMALL_TABLES['rollup_daily_health'][0]}")
+                write_rollups(read_layout(spark, root, "sorted"), root, None if fresh else todo)
+                built += [n for n, _ in ROLLUPS]
+            note(name)
+    for name, write in (("csv", write_csv), ("single", write_single)):
+        if name in wanted and stale(name):
+            staged = f"{root}/_incoming/{name}-{uuid.uuid4().hex[:12]}"
+            write(events, staged)
+            hf.publish(spark, {name: (staged, f"{root}/{name}")}, f"{root}/{name}_journal")
+            note(name)
     if force or not hf.exists(spark, f"{root}/lookup/error_codes/_SUCCESS"):
         write_error_codes(spark, root)
         built.append("error_codes")
-    write_rollups(read_layout(spark, root, "sorted"), root)
-    return [*built, "rollup_daily_health", "rollup_daily_errors"]
+    return built

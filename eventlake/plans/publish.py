@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +28,17 @@ def publish_days(spark: SparkSession, root: str, target: str, days: list[date])
 
 
 def publish_small_tables(spark: SparkSession, root: str, target: str) -> list[str]:
-    """Replace the lookup and the roll-ups whole; what is not built is skipped."""
+    """Replace the lookup and the roll-ups whole; what is not built is skipped. Each is staged and moved in at the end."""
     done = []
     for name, (folder, _) in SMALL_TABLES.items():
         if hf.exists(spark, f"{root}/{folder}"):
             table = read_small_table(spark, root, name)
-            writer = table.hint("rebalance").write.mode("overwrite")
+            staged = f"{target}/_incoming/{name}-{uuid.uuid4().hex[:12]}"
             if "day" in table.columns:
-                writer = writer.partitionBy("day").option("partitionOverwriteMode", "static")
-            writer.parquet(f"{target}/{folder}")
+                month = table.withColumn("month", F.date_format("day", "yyyy-MM"))
+                month.hint("rebalance", "month").write.partitionBy("month").parquet(staged)
+            else:
+                table.hint("rebalance").write.parquet(staged)
+            hf.publish(spark, {name: (staged, f"{target}/{folder}")}, f"{target}/{folder}_journal")
             done.append(name)
     return done

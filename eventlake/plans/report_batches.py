@@ -76,18 +76,21 @@ def ingest_batch(spark: SparkSession, path: str, root: str,
                  spec: ReportSpec = EXAMPLE_REPORT) -> dict[str, object]:
     """Load one batch (a file or a folder of files), replacing an earlier load of the same batch.
 
-    Both tables are built and checked under <root>/_incoming and moved in at the end."""
+    Both tables are built and checked under <root>/_incoming and moved in together at the end. A load that was cut off
+    while moving is undone first, whatever becomes of this one."""
     batch = batch_name(path)
     started, begin = utc_now(), time.perf_counter()
     incoming = f"{root}/_incoming/{batch}"
+    finals = {t: f"{root}/{t}/batch={batch}" for t in ("reports_raw", "reports_hot")}
+    journal = f"{root}/_replaced/{batch}"
+    hf.recover(spark, finals.__getitem__, journal)
     hf.drop(spark, incoming)
     try:
         audit = _build(spark, path, incoming, spec)
     except BadBatch:
         hf.drop(spark, incoming)
         raise
-    for table in ("reports_raw", "reports_hot"):
-        hf.swap_in(spark, f"{incoming}/{table}", f"{root}/{table}/batch={batch}")
+    hf.publish(spark, {t: (f"{incoming}/{t}", final) for t, final in finals.items()}, journal)
     hf.drop(spark, incoming)
 
     raw_mb, raw_files = _size(spark, f"{root}/reports_raw/batch={batch}")

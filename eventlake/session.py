@@ -31,9 +31,11 @@ def build_session(app_name: str = "eventlake", master: str | None = None, **conf
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can see, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a local temporary folder is used."""
+    Only where that is unset and Spark runs on this machine alone, a local temporary folder is used."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="eventlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -37,8 +37,10 @@ CSV_WRITE = {"header": True, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH
 
 
 def read_csv_events(spark: SparkSession, path: str, schema: T.StructType = EVENT_RAW) -> DataFrame:
-    """Typed scan of CSV event files, plain or gzip; no inference pass over the data."""
-    return spark.read.options(**CSV_READ).schema(schema).csv(path)
+    """Typed scan of CSV event files, plain or gzip; no inference pass over the data.
+
+    A file whose header has other names, or the same ones in another order, stops the job."""
+    return spark.read.options(**CSV_READ).option("enforceSchema", False).schema(schema).csv(path)
 
 
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:

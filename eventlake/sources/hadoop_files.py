@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import SparkSession
@@ -61,38 +62,86 @@ def visible_files(spark: SparkSession, path: str) -> list[str]:
     """A file itself, or the data files directly in a folder."""
     if is_file(spark, path):
         return [path]
-    names = [n for n in child_names(spark, path) if not n.startswith(("_", "."))]
-    return [f for f in (f"{path.rstrip('/')}/{n}" for n in names) if is_file(spark, f)]
+    p, fs = _path(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [s for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))]
+    if nested := sorted(s.getPath().getName() for s in found if s.isDirectory()):
+        raise IsADirectoryError(f"{path} holds folders ({', '.join(nested)}), whose files would be left out")
+    return sorted(s.getPath().toString() for s in found)
 
 
 def swap_in(spark: SparkSession, staged: str, final: str) -> None:
-    """Put a finished folder in place of another one.
-
-    The old folder is set aside first and only dropped once the new one stands, so a crash
-    in between loses nothing."""
-    src, fs = _path(spark, staged)
-    dst, _ = _path(spark, final)
-    aside, _ = _path(spark, f"{staged.rstrip('/')}.replaced")
-    fs.mkdirs(dst.getParent())
-    if fs.exists(dst) and not fs.rename(dst, aside):
-        raise OSError(f"could not set {final} aside")
-    if not fs.rename(src, dst):
-        if fs.exists(aside):
-            fs.rename(aside, dst)
-        raise OSError(f"could not move {staged} to {final}")
-    if fs.exists(aside):
-        fs.delete(aside, True)
+    """Put one finished file or folder in place of another one."""
+    publish(spark, {"only": (staged, final)}, f"{staged.rstrip('/')}.journal")
+
+
+def publish(spark: SparkSession, moves: dict[str, tuple[str | None, str]], journal: str) -> None:
+    """Put finished folders in place of others, all of them or none.
+
+    moves: name -> (staged folder, or None if nothing takes its place; final folder). What stands is first set aside in the
+    journal folder, which has to be outside of anything that is dropped before the next run. If a run is cut off, recover()
+    puts everything back."""
+    def place(name: str) -> str:
+        return moves[name][1]
+
+    recover(spark, place, journal)
+    fs = _path(spark, journal)[1]
+
+    def path(text):
+        return _path(spark, text)[0]
+
+    def rename(src, dst):
+        fs.mkdirs(path(dst).getParent())
+        if not fs.rename(path(src), path(dst)):
+            raise OSError(f"could not move {src} to {dst}")
+
+    fs.mkdirs(path(journal))
+    try:
+        for name, (_, final) in moves.items():
+            if fs.exists(path(final)):
+                rename(final, f"{journal}/old/{name}")
+            else:
+                fs.mkdirs(path(f"{journal}/absent/{name}"))
+        fs.mkdirs(path(f"{journal}/all_aside"))
+        for staged, final in moves.values():
+            if staged is not None:
+                rename(staged, final)
+        fs.mkdirs(path(f"{journal}/done"))
+    except Exception:
+        recover(spark, place, journal)
+        raise
+    drop(spark, journal)
+
+
+def recover(spark: SparkSession, place: Callable[[str], str], journal: str) -> None:
+    """Undo a publish() that was cut off; one that was through is only tidied up. Without a journal there is nothing to do.
+
+    place gives the final folder of a name."""
+    if not exists(spark, journal):
+        return
+    if not exists(spark, f"{journal}/done"):
+        for name in child_names(spark, f"{journal}/old"):
+            drop(spark, place(name))
+            p, fs = _path(spark, f"{journal}/old/{name}")
+            if not fs.rename(p, _path(spark, place(name))[0]):
+                raise OSError(f"could not put {place(name)} back from {journal}")
+        if exists(spark, f"{journal}/all_aside"):
+            # there was nothing before; what was moved in belongs to the run that was cut off
+            for name in child_names(spark, f"{journal}/absent"):
+                drop(spark, place(name))
+    drop(spark, journal)
 
 
 def replace_days(spark: SparkSession, staged: str, final: str, days: list[date]) -> None:
     """Put staged day folders in place of exactly these days. A day without staged rows ends up
-    without a folder, so that nothing stale is left of it."""
+    without a folder, so that nothing stale is left of it. If a run is cut off, the next one for these days starts from
+    what was there before."""
     have = set(present_days(spark, staged))
-    for day in days:
-        if day in have:
-            swap_in(spark, f"{staged}/day={day}", f"{final}/day={day}")
-        else:
-            drop(spark, f"{final}/day={day}")
+    moves = {f"day={d}": (f"{staged}/day={d}" if d in have else None, f"{final}/day={d}") for d in days}
+    journal = f"{final.rstrip('/')}_journal"
+    recover(spark, lambda name: f"{final}/{name}", journal)
+    publish(spark, moves, journal)
     drop(spark, staged)
 
 

@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlake.fixed_values import MAX_LINE_CHARS
 from eventlake.schemas import ReportSpec
 from eventlake.session import new_scratch
 from eventlake.sources import hadoop_files as hf
@@ -15,7 +14,7 @@ _GZIP_MAGIC = b"\x1f\x8b"
 _BATCH_NAME = re.compile(r"[A-Za-z0-9._-]+")
 
 _READ = {"header": True, "escape": '"', "multiLine": True, "mode": "FAILFAST",
-         "maxCharsPerColumn": MAX_LINE_CHARS, "timeZone": "UTC"}
+         "maxCharsPerColumn": -1, "timeZone": "UTC"}
 
 
 class BadBatch(Exception):
@@ -36,7 +35,10 @@ def checked_files(spark: SparkSession, path: str) -> list[str]:
 
     Spark picks the codec by suffix, so a file with a misleading name is first copied under a
     fitting one. The copy runs in tasks, one stream per file, never through the driver."""
-    files = hf.visible_files(spark, path)
+    try:
+        files = hf.visible_files(spark, path)
+    except IsADirectoryError as why:
+        raise BadBatch(str(why)) from None
     if not files:
         raise BadBatch(f"there is no file at {path}")
     for file in files:

@@ -29,14 +29,15 @@ def register_views(spark: SparkSession, root: str, layout: str = "sorted") -> li
             add(f"events_{name}", read_layout(spark, root, name))
             if name == layout:
                 add("events", read_layout(spark, root, name))
-    for name, (folder, schema) in SMALL_TABLES.items():
+    for name, (folder, _) in SMALL_TABLES.items():
         if hf.exists(spark, f"{root}/{folder}"):
-            add(name, spark.read.schema(schema).parquet(f"{root}/{folder}"))
+            add(name, read_small_table(spark, root, name))
     if hf.exists(spark, f"{root}/runs"):
         add("runs", spark.read.schema(RUN).json(f"{root}/runs"))
     return made
 
 
 def read_small_table(spark: SparkSession, root: str, name: str):
+    """The table's own columns; the month of a roll-up's folder is not one of them."""
     folder, schema = SMALL_TABLES[name]
-    return spark.read.schema(schema).parquet(f"{root}/{folder}")
+    return spark.read.schema(schema).parquet(f"{root}/{folder}").select(*schema.fieldNames())

@@ -21,6 +21,8 @@ def ingest_arrivals(spark: SparkSession, landing: str, root: str, checkpoint: st
     and replaced whole, so late files, re-sent events across files and re-run batches all end in
     the same table."""
     files = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True)
+    # files count however long ago they were written; what was taken before is in the checkpoint
+    files = files.option("maxFileAge", "36500d")
     # only paths are looked at here, contents are not read
     arrived = files.load(landing).select(F.to_date(day_from_path(F.col("path"))).alias("day"))
     batches = []

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from eventlake.functions import (
     as_bigint,
     as_double,
+    asked_days,
     clock_bad,
-    date_range,
     day_from_path,
     duration_minutes,
     hash_uniform,
@@ -38,12 +38,12 @@ def test_parse_day_refuses_the_rest(text):
         parse_day(text)
 
 
-def test_date_range_forms():
+def test_asked_days_forms():
     d = date
-    assert date_range(COVERED) is None
-    assert date_range(COVERED, on=d(2026, 6, 2)) == (d(2026, 6, 2), d(2026, 6, 2))
-    assert date_range(COVERED, first=d(2026, 6, 2)) == (d(2026, 6, 2), d(2026, 6, 3))
-    assert date_range(COVERED, last=d(2026, 6, 2)) == (d(2026, 6, 1), d(2026, 6, 2))
+    assert asked_days(COVERED) is None
+    assert asked_days(COVERED, on=d(2026, 6, 2)) == (d(2026, 6, 2), d(2026, 6, 2))
+    assert asked_days(COVERED, first=d(2026, 6, 2)) == (d(2026, 6, 2), d(2026, 6, 3))
+    assert asked_days(COVERED, last=d(2026, 6, 2)) == (d(2026, 6, 1), d(2026, 6, 2))
 
 
 @pytest.mark.parametrize("args, message", [
@@ -52,9 +52,9 @@ def test_date_range_forms():
     ({"first": date(2026, 6, 3), "last": date(2026, 6, 1)}, "before it starts"),
     ({"on": date(2026, 6, 1), "first": date(2026, 6, 1)}, "exclude each other"),
 ])
-def test_date_range_refuses(args, message):
+def test_asked_days_refuses(args, message):
     with pytest.raises(ValueError, match=message):
-        date_range(COVERED, **args)
+        asked_days(COVERED, **args)
 
 
 def test_window_is_clamped():

@@ -16,6 +16,7 @@ from eventlake.sources import hadoop_files as hf
 from eventlake.sources.events import CSV_WRITE, device_events, read_landing, read_layout
 from eventlake.sources.files import list_files
 from eventlake.sources.runs import read_runs, track
+from eventlake.sources.views import read_small_table
 from eventlake.streaming.arrivals import ingest_arrivals
 
 DAYS = [date(2024, 1, d) for d in (1, 2, 3)]
@@ -186,8 +187,34 @@ def test_nothing_stale_is_left_of_a_day_that_lost_its_rows(spark, events, tmp_pa
     audit = {r["date"]: r for r in ingest_days(spark, landing, root, DAYS[:2], refresh_rollups=True).collect()}
     assert audit[DAYS[1]]["rows_in"] == audit[DAYS[1]]["rows_out"] == 0
     assert hf.present_days(spark, f"{root}/sorted") == [DAYS[0], DAYS[2]]
-    assert hf.present_days(spark, f"{root}/rollups/rollup_daily_errors") == [DAYS[2]]
-    assert hf.present_days(spark, f"{root}/rollups/rollup_daily_health") == [DAYS[0], DAYS[2]]
+    for name, days in (("rollup_daily_errors", {DAYS[2]}), ("rollup_daily_health", {DAYS[0], DAYS[2]})):
+        assert {r["day"] for r in read_small_table(spark, root, name).select("day").distinct().collect()} == days
+
+
+def test_late_files_with_an_old_time_are_ingested(spark, events, tmp_path):
+    import os
+    import time
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "root")
+    land(events.where(F.col("day") == F.lit(DAYS[0])), landing)
+    ingest_arrivals(spark, landing, root, f"{root}/_progress")
+    land(events.where(F.col("day") == F.lit(DAYS[1])), str(tmp_path / "more"))
+    os.rename(tmp_path / "more" / f"day={DAYS[1]}", tmp_path / "landing" / f"day={DAYS[1]}")
+    old = time.time() - 30 * 86400
+    for f in (tmp_path / "landing" / f"day={DAYS[1]}").iterdir():
+        os.utime(f, (old, old))
+    assert ingest_arrivals(spark, landing, root, f"{root}/_progress") == 1
+    assert hf.present_days(spark, f"{root}/sorted") == DAYS[:2]
+
+
+def test_other_headers_are_refused(spark, events, tmp_path):
+    """Columns in another order must not be read by position."""
+    folder = tmp_path / "landing" / f"day={DAYS[0]}"
+    one = events.where(F.col("day") == F.lit(DAYS[0])).drop("day")
+    swapped = ["os_version" if c == "device_model" else "device_model" if c == "os_version" else c for c in one.columns]
+    one.select(*swapped).write.options(**CSV_WRITE).csv(str(folder))
+    with pytest.raises(Exception, match="(?i)header"):
+        ingest_days(spark, str(tmp_path / "landing"), str(tmp_path / "root"), [DAYS[0]])
+    assert hf.present_days(spark, f"{tmp_path}/root/sorted") == []
 
 
 def test_arrived_lines_are_counted_as_the_csv_reader_sees_them(spark, landing, tmp_path):

@@ -95,12 +95,65 @@ def test_build_adds_days_that_came_later(spark, sf_dir, root, tmp_path):
     assert health.select("day").distinct().count() == 3
 
 
-def test_baselines_stop_above_their_row_limit(spark, events, tmp_path):
+def test_only_named_layouts_are_built(spark, events, tmp_path):
     root = str(tmp_path)
     lay.write_by_day(events, f"{root}/by_day")
-    lay.build_layouts(spark, root, baseline_max_rows=1, single_max_rows=1)
-    assert hf.exists(spark, f"{root}/sorted")
-    assert not any(hf.exists(spark, f"{root}/{n}") for n in ("csv", "tiny_files", "single"))
+    lay.build_layouts(spark, root, layouts=("sorted", "single"))
+    assert all(hf.exists(spark, f"{root}/{n}") for n in ("sorted", "single"))
+    assert not any(hf.exists(spark, f"{root}/{n}") for n in ("csv", "tiny_files"))
+    with pytest.raises(ValueError, match="no layout"):
+        lay.build_layouts(spark, root, layouts=("heap",))
+
+
+def test_every_layout_follows_new_changed_and_dropped_days(spark, sf_dir, tmp_path):
+    root = str(tmp_path)
+    events = device_events(spark, sf_dir, DAYS[0], DAYS[2])
+    lay.write_by_day(events.where(F.col("day") < F.lit(DAYS[2])), f"{root}/by_day")
+    lay.build_layouts(spark, root)
+    lay.write_by_day(events.where(F.col("day") == F.lit(DAYS[2])), f"{root}/by_day", replace_days=True)
+    lay.write_by_day(events.where((F.col("day") == F.lit(DAYS[1])) & (F.col("event_id") % 2 == 0)), f"{root}/by_day", replace_days=True)
+    hf.drop(spark, f"{root}/by_day/day={DAYS[0]}")
+    assert {"sorted", "tiny_files", "single", "csv", "rollup_daily_health"} <= set(lay.build_layouts(spark, root))
+    now = read_layout(spark, root, "by_day")
+    assert {r["day"] for r in now.select("day").distinct().collect()} == set(DAYS[1:3])
+    for name in LAYOUTS:
+        assert same_answer(read_layout(spark, root, name).select(events.columns), now)
+    health = read_small_table(spark, root, "rollup_daily_health")
+    assert {r["day"]: r["n"] for r in health.groupBy("day").agg(F.sum("events").alias("n")).collect()} == {
+        r["day"]: r["n"] for r in now.groupBy("day").agg(F.count("*").alias("n")).collect()}
+    assert lay.build_layouts(spark, root) == []
+
+
+def test_rollups_are_few_files(spark, events, root):
+    files = list_files(spark, f"{root}/rollups/rollup_daily_health", "*.parquet").count()
+    assert files == 1 < len(DAYS)
+
+
+@pytest.mark.parametrize("stop", ["aside", "half"])
+def test_publish_is_all_or_nothing(spark, tmp_path, monkeypatch, stop):
+    """A run that ends between its renames is undone by the next one."""
+    root = str(tmp_path)
+    def table(path, value):
+        spark.range(1).select(F.lit(value).alias("v")).write.parquet(path)
+    for n in ("a", "b"):
+        table(f"{root}/{n}", "old")
+    moves = {n: (f"{root}/new/{n}", f"{root}/{n}") for n in ("a", "b", "c")}
+    for n in moves:
+        table(f"{root}/new/{n}", "new")
+    journal = f"{root}/journal"
+    # the folders as a run leaves them that is cut off
+    import os
+    os.makedirs(f"{journal}/old")
+    os.makedirs(f"{journal}/absent/c")
+    os.rename(f"{root}/a", f"{journal}/old/a")
+    if stop == "half":
+        os.rename(f"{root}/b", f"{journal}/old/b")
+        os.makedirs(f"{journal}/all_aside")
+        os.rename(f"{root}/new/a", f"{root}/a")
+        os.rename(f"{root}/new/c", f"{root}/c")
+    hf.recover(spark, lambda n: f"{root}/{n}", journal)
+    assert [spark.read.parquet(f"{root}/{n}").first()["v"] for n in ("a", "b")] == ["old", "old"]
+    assert not hf.exists(spark, f"{root}/c") and not hf.exists(spark, journal)
 
 
 def test_replacing_one_day_leaves_the_others(spark, events, tmp_path):

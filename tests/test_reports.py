@@ -126,9 +126,10 @@ def test_refused_batches_leave_nothing_behind(spark, tmp_path):
         "no server clock": [row(updated="")],
         "malformed": [row(summary="{broken")],
         "trailing": [row(summary='{"a":1} x')],
+        "second value": [row(summary='{"a":1}],[oops')],
     }
     reasons = {"null id": "no id", "no server clock": "no updated_at", "malformed": "malformed JSON",
-               "trailing": "malformed JSON"}
+               "trailing": "malformed JSON", "second value": "malformed JSON"}
     for label, rows in bad.items():
         with pytest.raises(BadBatch, match=reasons[label]):
             load(spark, tmp_path, rows)
@@ -136,6 +137,29 @@ def test_refused_batches_leave_nothing_behind(spark, tmp_path):
     assert not hf.exists(spark, f"{root}/reports_hot") and hf.child_names(spark, f"{root}/_incoming") == []
 
 
+def test_a_load_that_was_cut_off_is_undone(spark, tmp_path):
+    """The old batch is set aside outside of what the next load drops first, even if that one is refused."""
+    import os
+    _, root = load(spark, tmp_path, [row("old")])
+    os.makedirs(f"{root}/_replaced/batch/old")
+    for table in ("reports_raw", "reports_hot"):
+        os.rename(f"{root}/{table}/batch=batch", f"{root}/_replaced/batch/old/{table}")
+    with pytest.raises(BadBatch):
+        load(spark, tmp_path, [row("")])
+    assert set(hot_rows(spark, root)) == {"old"} and read_raw(spark, root).first()["id"] == "old"
+    load(spark, tmp_path, [row("new")])
+    assert set(hot_rows(spark, root)) == {"new"} and read_raw(spark, root).first()["id"] == "new"
+
+
+def test_nested_folders_are_refused(spark, tmp_path):
+    folder = tmp_path / "nested"
+    (folder / "inner").mkdir(parents=True)
+    write(folder / "a.csv", [row("r1")])
+    write(folder / "inner" / "b.csv", [row("r2")])
+    with pytest.raises(BadBatch, match="inner"):
+        ingest_batch(spark, str(folder), str(tmp_path / "tables"))
+
+
 def test_files_that_cannot_be_a_batch(spark, tmp_path):
     root = str(tmp_path / "tables")
     with pytest.raises(BadBatch, match="no file"):

@@ -14,6 +14,30 @@ def list_files(spark: SparkSession, root: str | list[str], pattern: str | None =
     return reader.load(root).select("path", "length", "modificationTime")
 
 
+#: Schemes by which Hadoop knows a store, and the name of Arrow's own reader for it.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "hdfs": "hdfs", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def arrow_uri(path: str) -> str:
+    """A Hadoop path as Arrow spells it: a plain path for local files, else a URI of a store that it can read."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    if scheme == "file":
+        return "/" + rest.lstrip("/")
+    if scheme not in ARROW_SCHEMES:
+        raise ValueError(f"footers and misnamed files in {scheme}:// cannot be read by tasks, "
+                         f"there are readers for {', '.join(sorted(ARROW_SCHEMES))} and local files")
+    return f"{ARROW_SCHEMES[scheme]}:{rest}"
+
+
+def arrow_location(path: str):
+    """(file system, path in it) for code that runs in tasks."""
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(arrow_uri(path))
+
+
 def with_row_position(df: DataFrame) -> DataFrame:
     """Add the file a row was read from and its position in that file."""
     return df.withColumns({

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlake.schemas import SCAN_STATS
-from eventlake.sources.files import list_files
+from eventlake.sources.files import arrow_location, list_files
 
 
 def read_row_groups(spark: SparkSession, root: str) -> DataFrame:
@@ -13,10 +13,7 @@ def read_row_groups(spark: SparkSession, root: str) -> DataFrame:
     bytes, and whether all values are NULL. Tasks read footers only, never column data."""
 
     def footers(batches):
-        import re
-
         import pandas as pd
-        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
         def text(value):
@@ -29,7 +26,7 @@ def read_row_groups(spark: SparkSession, root: str) -> DataFrame:
         names = ["file", "row_group", "column", "lo", "hi", "bytes", "all_null"]
         for batch in batches:
             for path in batch["path"]:
-                fs, inner = pafs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
+                fs, inner = arrow_location(path)
                 with fs.open_input_file(inner) as source:
                     meta = pq.ParquetFile(source).metadata
                     rows = []

@@ -48,27 +48,15 @@ def first_bytes(spark: SparkSession, path: str, count: int = 2) -> bytes:
     return bytes(b for b in got if b >= 0)
 
 
-def file_size(spark: SparkSession, path: str) -> int:
-    p, fs = _path(spark, path)
-    return fs.getFileStatus(p).getLen()
-
-
-def is_file(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, path)
-    return fs.exists(p) and fs.getFileStatus(p).isFile()
-
-
-def visible_files(spark: SparkSession, path: str) -> list[str]:
-    """A file itself, or the data files directly in a folder."""
-    if is_file(spark, path):
-        return [path]
+def visible_files(spark: SparkSession, path: str) -> dict[str, int]:
+    """A file itself, or the data files directly in a folder, with their sizes, from one listing."""
     p, fs = _path(spark, path)
     if not fs.exists(p):
-        return []
-    found = [s for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))]
+        return {}
+    found = [s for s in fs.listStatus(p) if s.getPath().toString() == fs.makeQualified(p).toString() or not s.getPath().getName().startswith(("_", "."))]
     if nested := sorted(s.getPath().getName() for s in found if s.isDirectory()):
         raise IsADirectoryError(f"{path} holds folders ({', '.join(nested)}), whose files would be left out")
-    return sorted(s.getPath().toString() for s in found)
+    return dict(sorted((s.getPath().toString(), s.getLen()) for s in found))
 
 
 def swap_in(spark: SparkSession, staged: str, final: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from eventlake.schemas import ReportSpec
 from eventlake.session import new_scratch
 from eventlake.sources import hadoop_files as hf
+from eventlake.sources.files import arrow_location
 
 _GZIP_MAGIC = b"\x1f\x8b"
 _BATCH_NAME = re.compile(r"[A-Za-z0-9._-]+")
@@ -41,13 +42,12 @@ def checked_files(spark: SparkSession, path: str) -> list[str]:
         raise BadBatch(str(why)) from None
     if not files:
         raise BadBatch(f"there is no file at {path}")
-    for file in files:
-        if hf.file_size(spark, file) == 0:
-            raise BadBatch(f"{file} is empty")
+    if empty := [f for f, size in files.items() if size == 0]:
+        raise BadBatch(f"{empty[0]} is empty")
     zipped = {f: hf.first_bytes(spark, f) == _GZIP_MAGIC for f in files}
     misnamed = [f for f in files if zipped[f] != f.endswith(".gz")]
     if not misnamed:
-        return files
+        return list(files)
     target = new_scratch(spark, "renamed-batch")
     copies = [(f, f"{target}/part-{i:05d}.csv{'.gz' if zipped[f] else ''}")
               for i, f in enumerate(misnamed)]
@@ -58,18 +58,12 @@ def checked_files(spark: SparkSession, path: str) -> list[str]:
 
 def _copy_files(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
     def copy(batches):
-        import re
         import shutil
 
-        import pyarrow.fs as pafs
-
-        def located(path):
-            return pafs.FileSystem.from_uri(re.sub("^file:/+", "/", path))
-
         for batch in batches:
             for src, dst in zip(batch["src"], batch["dst"]):
-                fs_in, inner_in = located(src)
-                fs_out, inner_out = located(dst)
+                fs_in, inner_in = arrow_location(src)
+                fs_out, inner_out = arrow_location(dst)
                 fs_out.create_dir(inner_out.rsplit("/", 1)[0])
                 with (fs_in.open_input_stream(inner_in, compression=None) as source,
                       fs_out.open_output_stream(inner_out, compression=None) as sink):

@@ -57,6 +57,14 @@ def test_asked_days_refuses(args, message):
         asked_days(COVERED, **args)
 
 
+def test_store_names_of_tasks():
+    from eventlake.sources.files import arrow_uri
+    assert arrow_uri("s3a://lake/a b/x") == "s3://lake/a b/x" and arrow_uri("hdfs://n:8020/x") == "hdfs://n:8020/x"
+    assert arrow_uri("file:///tmp/x") == arrow_uri("file:/tmp/x") == arrow_uri("/tmp/x") == "/tmp/x"
+    with pytest.raises(ValueError, match="wasb"):
+        arrow_uri("wasb://c@a/x")
+
+
 def test_window_is_clamped():
     assert window(date(2026, 6, 8), 7) == (date(2026, 6, 2), date(2026, 6, 8))
     assert window(date(2026, 6, 3), 7, date(2026, 6, 1)) == (date(2026, 6, 1), date(2026, 6, 3))

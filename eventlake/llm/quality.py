@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, whole_row, word_spans
+from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, slices, word_spans
 
 BUCKETS_LOG2 = 17
 DIMENSIONS = 12
@@ -138,22 +138,26 @@ def score_texts(model: Model, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 BYTES_AT_ONCE = 1 << 20
 
 
+def score_column(model: Model, texts: pa.Array) -> np.ndarray:
+    flat, at = byte_view(texts)
+    out, i = [np.empty(0)], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + BYTES_AT_ONCE, "right")) - 1)
+        out.append(score_texts(model, flat[at[i]: at[j]], at[i: j + 1] - at[i]))
+        i = j
+    return np.concatenate(out)
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text_hash and score (0 to 1) of every row of docs (doc_id, text). Null texts count as empty, and an empty
+    """doc_id and score (0 to 1) of every row of docs (doc_id, text). Null texts count as empty, and an empty
     text has the score of the bias. Whole texts; other columns are not looked at."""
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, at = byte_view(b.column(2))
-            out, i = [np.empty(0)], 0
-            while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(at, at[i] + BYTES_AT_ONCE, "right")) - 1)
-                out.append(score_texts(weights.value, flat[at[i]: at[j]], at[i: j + 1] - at[i]))
-                i = j
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(out))], names=["doc_id", "text_hash", "score"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_column(weights.value, b.column(1)))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(task, "doc_id long, text_hash long, score double")
+    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, score double")
 
 
 def held_out(doc_id: str) -> Column:
@@ -167,6 +171,11 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold."""
-    good = scores(docs, model).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t"), whole_row(docs).alias("_row"))
-    return rows.join(good, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left_semi").select("_row.*")
+    weights = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array(score_column(weights.value, b.column(text)) >= threshold))
+
+    return docs.mapInArrow(task, docs.schema)

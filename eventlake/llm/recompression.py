@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm import anchored
-from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, stored, word_spans
+from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, slices, stored, word_spans
 
 WINDOW = 13
 PAIR_ROUNDS = 3
@@ -178,7 +178,7 @@ def _single_windows(window: int):
 def _removed(window: int):
     """Texts with their covered ranges -> what is kept."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for i, (text, ats) in enumerate(zip(b.column(1), b.column(2), strict=True)):
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlake.llm.common import TO_LOWER, byte_view, sorted_runs, stored, whole_row
+from eventlake.llm.common import TO_LOWER, byte_view, slices, sorted_runs, stored, whole_row
 from eventlake.llm.components import components
 
 SHINGLE = 3
@@ -48,7 +48,7 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         flat, at = byte_view(b.column(2))
         lower = TO_LOWER[flat].tobytes()
         out = np.array([fingerprint(lower[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64)

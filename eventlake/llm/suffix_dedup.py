@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm import anchored, bwt
-from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, sorted_runs, stored
+from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, slices, sorted_runs, stored
 
 WINDOW = 200
 #: Bytes of an anchor, and of the second one.
@@ -203,7 +203,7 @@ def covered_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, D
 
 def _removed(window: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text, ats in zip(b.column(1), b.column(2), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""

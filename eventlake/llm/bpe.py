@@ -19,14 +19,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlake.llm.common import slices
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words kept for look-up by a task; beyond that the table starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Words' bytes, and ids, that one query gets.
 QUERY_BYTES, QUERY_IDS = 1 << 18, 1 << 18
 #: Longer words run on their own, as they need as many rounds as they have bytes, at worst.
 SHORT = 32
-MEMORY = "300MB"
+MEMORY = "200MB"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -149,15 +151,6 @@ def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
     return _CODEC[key]
 
 
-TEXTS_AT_ONCE = 256
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, TEXTS_AT_ONCE):
-            yield b.slice(i, TEXTS_AT_ONCE)
-
-
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id, text -> doc_id, ids (binary: little-endian unsigned 32-bit), n_tokens.
 
@@ -167,7 +160,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
-        for b in _parts(batches):
+        for b in slices(batches):
             ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
@@ -180,14 +173,27 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, public_tokenizers.PATTERN)
-        for b in _parts(batches):
+        for b in slices(batches):
             text = codec.decode([x or b"" for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], names=["doc_id", "ids", "n_tokens", "decoded"])
 
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(task, "doc_id long, ids binary, n_tokens long, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """encode_documents() and decode_documents() in one task: doc_id, ids, n_tokens, decoded."""
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(ranks.value, pattern)
+        for b in slices(batches):
+            ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(codec.decode(ids), pa.binary())],
+                                             names=["doc_id", "ids", "n_tokens", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, ids binary, n_tokens long, decoded binary")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoding and decoding docs."""
-    both = decode_documents(encode_documents(docs))
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

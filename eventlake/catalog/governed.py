@@ -21,6 +21,7 @@ from eventlake.catalog.base import (
     row_groups,
     sql,
 )
+from eventlake.fixed_values import SCAN_BUDGET_MB
 from eventlake.plans.governed import (
     Aggregate,
     Filter,
@@ -172,3 +173,30 @@ def _(s, d):
     verdict = audit(reader(s, d, max_result_kb=1), [request])
     any_row = layout(s, d, "sorted").agg((F.count("*") > 0).alias("has_rows"), F.lit("many wide rows").alias("tried"))
     return verdict.join(any_row, "tried").select("verdict", "has_rows")
+
+
+@query("governed_default_budget", sql(
+    f"SELECT day, count(*) AS n FROM ev WHERE {between(WEEK)} AND status = 'fail' GROUP BY 1"))
+def _(s, d):
+    request = Request(WEEK_EVENTS, {"day": "day"}, [COUNT], order_by=[("day", False)])
+    answer = reader(s, d, budget_mb=SCAN_BUDGET_MB).run(request)
+    if answer.df is None:
+        raise RuntimeError(answer.note)
+    return answer.df
+
+
+@query("governed_union_over_budget", "SELECT 'refused' AS verdict, count(*) > 0 AS has_rows FROM events")
+def _(s, d):
+    arm = Request(Source("events", *WEEK), {"device_id": "device_id"}, limit=5)
+    mb = reader(s, d).scan_mb(arm)
+    answer = reader(s, d, budget_mb=1.5 * mb).run_union(arm, arm)
+    return layout(s, d, "sorted").agg(F.lit(answer.status).alias("verdict"), (F.count("*") > 0).alias("has_rows"))
+
+
+@query("governed_union_too_many_rows", sql(
+    f"""SELECT CASE WHEN count(DISTINCT event_id) > 50 THEN 'refused' ELSE 'ok' END AS verdict FROM ev
+        WHERE day IN (DATE '{WEEK[0]}', DATE '{BAD_DAY}')"""))
+def _(s, d):
+    arms = [Request(Source("events", day, day), {"event_id": "event_id"}) for day in (WEEK[0], BAD_DAY)]
+    answer = reader(s, d, max_rows=50).run_union(*arms)
+    return layout(s, d, "sorted").agg(F.lit(answer.status).alias("verdict"))

@@ -159,6 +159,23 @@ def _(s, d):
     return counts[0].unionByName(counts[1])
 
 
+@query("build_every_layout_twice", sql(
+    f"""SELECT unnest(['by_day', 'sorted', 'tiny_files', 'single', 'csv', 'rollup_daily_health']) AS layout, count(*) AS rows,
+               CAST(sum(duration_ms) AS BIGINT) AS total_ms FROM ev WHERE {between(WEEK)}"""))
+def _(s, d):
+    # the first build has one day less, and other rows of another day, than the second one
+    root = new_scratch(s, "twice")
+    events = ev.device_events(s, d, *WEEK).where(in_window(*WEEK))
+    changed = events.where((F.col("day") < F.lit(BAD_DAY)) & ((F.col("day") > F.lit(WEEK[0])) | (F.col("event_id") % 2 == 0)))
+    lay.write_by_day(changed, f"{root}/by_day")
+    lay.build_layouts(s, root)
+    lay.write_by_day(events.where(F.col("day").isin(WEEK[0], BAD_DAY)), f"{root}/by_day", replace_days=True)
+    lay.build_layouts(s, root)
+    rows = [ev.read_layout(s, root, n).agg(F.lit(n).alias("layout"), F.count("*").alias("rows"), F.sum("duration_ms").alias("total_ms")) for n in ev.LAYOUTS]
+    rows.append(read_small_table(s, root, "rollup_daily_health").agg(F.lit("rollup_daily_health").alias("layout"), F.sum("events").alias("rows"), F.sum("total_duration_ms").alias("total_ms")))
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 @query("replace_one_day", sql(
     f"""SELECT day, count(*) AS rows, CAST(sum(CASE WHEN day = DATE '{BAD_DAY}' THEN 0 ELSE duration_ms END)
                AS BIGINT) AS total_ms FROM ev GROUP BY 1"""))

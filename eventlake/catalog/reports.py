@@ -12,7 +12,7 @@ from eventlake.functions import json_text, pick, utc_clock, utc_day
 from eventlake.plans.report_batches import ingest_batch, read_hot, read_raw
 from eventlake.schemas import BATCH_AUDIT, EXAMPLE_REPORT
 from eventlake.session import new_scratch
-from eventlake.sources.report_files import checked_files, read_report_files
+from eventlake.sources.report_files import BadBatch, checked_files, read_report_files
 from eventlake.sources.runs import read_runs
 
 WRITE = {"header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}
@@ -156,3 +156,25 @@ def _(s, d):
         hf.swap_in(s, file, file.removesuffix(".gz"))
     rows = read_report_files(s, checked_files(s, path), EXAMPLE_REPORT)
     return rows.groupBy("device_kind").agg(F.count("*").alias("rows"))
+
+
+@query("report_batch_verdicts", sql(
+    """SELECT unnest(['good.csv', 'bad name.csv', 'short.csv', 'no_id.csv', 'broken.csv']) AS batch,
+              unnest(['loaded', 'batch name', 'header lacks', 'have no id', 'malformed JSON']) AS verdict,
+              count(*) AS rows_in_file FROM ev"""))
+def _(s, d):
+    root, rows = new_scratch(s, "reports"), report_rows(s, d)
+    broken = F.when(F.col("archive_path") == "a/1", F.lit('{"a":1}],[oops')).otherwise(F.col("summary"))
+    batches = {"good.csv": rows, "bad name.csv": rows, "short.csv": rows.drop("summary"), "no_id.csv": rows.withColumn("id", F.lit(None).cast("string")),
+               "broken.csv": rows.withColumn("summary", broken)}
+    reasons = ("batch name", "header lacks", "have no id", "malformed JSON")
+    out = []
+    for name, frame in batches.items():
+        try:
+            ingest_batch(s, _batch_file(s, d, name, frame), root)
+            verdict = "loaded"
+        except BadBatch as why:
+            verdict = next((r for r in reasons if r in str(why)), str(why))
+        out.append((name, verdict))
+    verdicts = F.array(*[F.struct(F.lit(b).alias("batch"), F.lit(v).alias("verdict")) for b, v in out])
+    return rows.agg(F.count("*").alias("rows_in_file")).select(F.inline(verdicts), "rows_in_file")

@@ -70,7 +70,7 @@ def plan(rows: int, threshold: float, recall: float) -> tuple[int, int, int]:
     meet = sum(math.comb(bits, d) * p ** d * (1 - p) ** (bits - d) for d in range(2 * RADIUS + 1))
     tables = max(4, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
     whole = bits * tables
-    return bits, tables, math.ceil(whole * p + 4 * math.sqrt(whole * p * (1 - p)))
+    return bits, tables, math.ceil(whole * p + 3 * math.sqrt(whole * p * (1 - p)))
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:

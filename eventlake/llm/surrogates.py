@@ -19,7 +19,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "mail": rf"(?<!{_EDGE}){_EDGE}{{1,64}}+@[\p{{L}}\p{{N}}-]{{1,63}}(?:\.[\p{{L}}\p{{N}}-]{{1,63}}){{0,8}}\.\p{{L}}{{2,24}}",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|eyJ[\w-]{10,500}\.[\w-]{10,2000}\.[\w-]{10,500})(?![A-Za-z0-9])"
-              r"|(?<=(?i:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_=-]{8,512}",
+              # the first look-behind is cheap and fails nearly everywhere
+              r"|(?<=[=:\"']|[=:]\s|[=:]\s\s)(?<=(?i:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_=-]{8,512}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\d-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?\d{3}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]\d{2,4}){3,5}(?!\d)",
@@ -28,8 +29,9 @@ PATTERNS = {
     "name": r"(?<!\p{L})(?:" + "|".join(t for ts in _TITLES.values() for t in ts) + r")\.? \p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40}){0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: No entity is without one of these.
-HINT = r"[@0-9=:]|" + "|".join(t for ts in _TITLES.values() for t in ts)
+#: No entity is without one of these; titles are told by their first letters before they are spelled out.
+HINT = r"[@0-9=:]|[" + "".join(sorted({t[0] for ts in _TITLES.values() for t in ts})) + r"](?<!\p{L}.)(?:" + "|".join(
+    sorted({t[1:] for ts in _TITLES.values() for t in ts})) + r")\.? \p{Lu}"
 
 #: Common given names.
 GIVEN = {

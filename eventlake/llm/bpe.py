@@ -8,8 +8,8 @@ rest of the partition. Decoding joins the ids of a text with the vocabulary and
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
@@ -139,16 +139,15 @@ class Codec:
         self.db.unregister("ids")
 
 
-_CODEC: dict[tuple[int, str], Codec] = {}
-
-
-def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
-    """One per Python worker, as a worker runs one task after the other."""
-    key = (len(ranks), hashlib.sha256(repr(sorted(ranks.items())[:: max(1, len(ranks) // 997)]).encode()).hexdigest() + pattern)
-    if key not in _CODEC:
-        _CODEC.clear()
-        _CODEC[key] = Codec(ranks, pattern)
-    return _CODEC[key]
+@contextmanager
+def _codec(ranks: dict[bytes, int], pattern: str) -> Iterator[Codec]:
+    """One per task: its words and tables go when the task ends, as the worker goes on to others."""
+    codec = Codec(ranks, pattern)
+    try:
+        yield codec
+    finally:
+        codec.words.clear()
+        codec.db.close()
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -159,10 +158,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
-        for b in slices(batches):
-            ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+        with _codec(ranks.value, pattern) as codec:
+            for b in slices(batches):
+                ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, ids binary, n_tokens long")
 
@@ -172,10 +171,10 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     ranks = encoded.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, public_tokenizers.PATTERN)
-        for b in slices(batches):
-            text = codec.decode([x or b"" for x in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], names=["doc_id", "ids", "n_tokens", "decoded"])
+        with _codec(ranks.value, public_tokenizers.PATTERN) as codec:
+            for b in slices(batches):
+                text = codec.decode([x or b"" for x in b.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.binary())], names=["doc_id", "ids", "n_tokens", "decoded"])
 
     return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(task, "doc_id long, ids binary, n_tokens long, decoded binary")
 
@@ -185,11 +184,11 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
-        for b in slices(batches):
-            ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(codec.decode(ids), pa.binary())],
-                                             names=["doc_id", "ids", "n_tokens", "decoded"])
+        with _codec(ranks.value, pattern) as codec:
+            for b in slices(batches):
+                ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(codec.decode(ids), pa.binary())],
+                                                 names=["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, ids binary, n_tokens long, decoded binary")
 

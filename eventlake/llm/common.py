@@ -45,9 +45,13 @@ SLICE = 256
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Batches in smaller ones, so that what a task makes of a batch stays small."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+    try:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+    finally:
+        # a worker goes on to other tasks, and what it holds for nothing counts as the executor's memory
+        pa.default_memory_pool().release_unused()
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -135,7 +135,7 @@ def score_texts(model: Model, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text whose features are held at once.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 18
 
 
 def score_column(model: Model, texts: pa.Array) -> np.ndarray:

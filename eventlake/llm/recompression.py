@@ -138,8 +138,8 @@ def parts(flat: np.ndarray, at: np.ndarray, window: int = WINDOW) -> Iterator[tu
 
 def _fragments(window: int):
     def of(b: pa.RecordBatch) -> Iterator[tuple]:
-        ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
-        flat, at = byte_view(b.column(2))
+        ids, subs, tags = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)
+        flat, at = byte_view(b.column(3))
         for words, row, place, first in parts(flat, at, window):
             if not len(words):
                 continue
@@ -152,15 +152,15 @@ def _fragments(window: int):
             key = range_hashes(words, lo[head], hi[head], 3) ^ mix64((level[head] + 1).astype(np.uint64))
             begin, n, index = anchored.cut_long(a, n)
             frag = range_hashes(words, begin, begin + n - 1 + window, 4)
-            yield key[index].view(np.int64), frag.view(np.int64), ids[row[begin]], anchored.pack(place[begin], tags[row[begin]], n)
+            yield key[index].view(np.int64), frag.view(np.int64), ids[row[begin]], subs[row[begin]], anchored.pack(place[begin], tags[row[begin]], n)
     return of
 
 
 def _single_windows(window: int):
     """Asked ranges of texts -> each window with two hashes of its whole content."""
     def of(b: pa.RecordBatch) -> Iterator[tuple]:
-        ids, tags, ats = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(3)
-        flat, at = byte_view(b.column(2))
+        ids, subs, tags, ats = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(4)
+        flat, at = byte_view(b.column(3))
         for words, row, place, first in parts(flat, at, window):
             heads = np.flatnonzero(first)
             for h, e in zip(heads, np.concatenate((heads[1:], [len(words)])), strict=True):
@@ -171,7 +171,7 @@ def _single_windows(window: int):
                 i = i[(i >= h) & (i + window <= e)]
                 if len(i):
                     yield (range_hashes(words[h:e], i - h, i - h + window, 5).view(np.int64), range_hashes(words[h:e], i - h, i - h + window, 6).view(np.int64),
-                           np.full(len(i), ids[r]), anchored.pack(place[i], np.full(len(i), tags[r]), np.ones(len(i), np.int64)))
+                           np.full(len(i), ids[r]), np.full(len(i), subs[r]), anchored.pack(place[i], np.full(len(i), tags[r]), np.ones(len(i), np.int64)))
     return of
 
 
@@ -198,10 +198,10 @@ def _removed(window: int):
 
 def covered_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(texts with tags, ranges of windows that occur in a document with a smaller id)."""
-    texts = docs.select("doc_id", anchored.tag(F.col("text")).alias("tag"), "text")
-    known = texts.where("doc_id is not null and text is not null")
+    texts = docs.select(F.col("doc_id").alias("doc"), anchored.text_key(F.col("text")).alias("sub"), anchored.tag(F.col("text")).alias("tag"), "text")
+    known = texts.where("doc is not null and text is not null")
     found = stored(anchored.meet(anchored.map_fragments(known, _fragments(window), smaller=True), smaller=True), "fragments")
-    asked = anchored.by_document(anchored.asked(found), known, "inner", ["doc_id", "tag", "text", "ats"])
+    asked = anchored.by_document(anchored.asked(found), known, "inner", ["doc", "sub", "tag", "text", "ats"])
     single = stored(anchored.covered(anchored.meet(anchored.map_fragments(asked, _single_windows(window), smaller=True), smaller=True)), "windows")
     return texts, anchored.covered(found).unionByName(single)
 
@@ -213,5 +213,5 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Null texts have no words. A document without an id is compared with none and loses nothing. Rows with the same id do not count against each
     other. Texts below a window stay whole."""
     texts, ranges = covered_windows(docs, window)
-    both = anchored.by_document(ranges, texts, "left", ["doc_id", "text", "ats"])
+    both = anchored.by_document(ranges, texts, "left", ["doc", "text", "ats"])
     return both.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")

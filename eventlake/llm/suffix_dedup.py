@@ -86,29 +86,29 @@ def fragments(flat: np.ndarray, borders: np.ndarray, anchor: int, seed: int, win
 
 def _fragments(window: int):
     def of(b: pa.RecordBatch) -> Iterator[tuple]:
-        ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
-        flat, at = byte_view(b.column(2))
+        ids, subs, tags = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)
+        flat, at = byte_view(b.column(3))
         for piece, borders, rows, first in parts(flat, at, window):
             key, frag, a, n, t = fragments(piece, borders, ANCHOR, 11, window)
             if len(key):
-                yield key, frag, ids[rows[t]], anchored.pack(a - borders[t] + first[t], tags[rows[t]], n)
+                yield key, frag, ids[rows[t]], subs[rows[t]], anchored.pack(a - borders[t] + first[t], tags[rows[t]], n)
     return of
 
 
-STRINGS = "key long, doc long, at long, state int, string binary"
+STRINGS = "key long, doc long, sub long, at long, state int, string binary"
 
 
 def _strings(window: int):
     """Texts with asked ranges -> strings of windows that share a second anchor."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
-            flat, at = byte_view(b.column(2))
+            ids, subs, tags = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64)
+            flat, at = byte_view(b.column(3))
             for piece, borders, rows, first in parts(flat, at, window):
                 state = np.zeros(len(piece) + 1, np.int8)
                 for t, r in enumerate(rows.tolist()):
-                    start, n = anchored.start_of(b.column(3)[r].values.to_numpy()), anchored.n_of(b.column(3)[r].values.to_numpy())
-                    asks = b.column(4)[r].values.to_numpy() == anchored.ASK
+                    start, n = anchored.start_of(b.column(4)[r].values.to_numpy()), anchored.n_of(b.column(4)[r].values.to_numpy())
+                    asks = b.column(5)[r].values.to_numpy() == anchored.ASK
                     for kind, chosen in ((anchored.ANSWER, ~asks), (anchored.ASK, asks)):
                         lo = np.clip(start[chosen] - first[t] + borders[t], borders[t], borders[t + 1])
                         hi = np.clip(start[chosen] + n[chosen] - first[t] + borders[t], borders[t], borders[t + 1])
@@ -124,29 +124,29 @@ def _strings(window: int):
                         for i in range(0, len(key), 4096):
                             s = slice(i, i + 4096)
                             strings = [raw[x: x + m - 1 + window] for x, m in zip(a[s].tolist(), n[s].tolist(), strict=True)]
-                            yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(ids[rows[t[s]]]), pa.array(packed[s]), pa.array(np.full(len(strings), kind, np.int32)), pa.array(strings, pa.binary())],
-                                                             names=["key", "doc", "at", "state", "string"])
+                            yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(ids[rows[t[s]]]), pa.array(subs[rows[t[s]]]), pa.array(packed[s]), pa.array(np.full(len(strings), kind, np.int32)), pa.array(strings, pa.binary())],
+                                                             names=["key", "doc", "sub", "at", "state", "string"])
     return task
 
 
-def _judge(doc: np.ndarray, at: np.ndarray, state: np.ndarray, strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+def _judge(doc: np.ndarray, sub: np.ndarray, at: np.ndarray, state: np.ndarray, strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of repeated windows of the asked strings."""
     number: dict[bytes, int] = {}
     which = np.array([number.setdefault(s, len(number)) for s in strings])
     weight = np.minimum(2, np.bincount(which, np.where(state == anchored.ANSWER, 2, 1)))
     again = bwt.repeated(list(number), weight, window)
-    docs, places, counts = [], [], []
+    docs, subs, places = [], [], []
     for r in np.flatnonzero(state == anchored.ASK):
         flags = again[which[r]]
         edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(lo):
             docs.append(np.full(len(lo), doc[r]))
+            subs.append(np.full(len(lo), sub[r]))
             places.append(anchored.pack(anchored.start_of(at[r]) + lo, anchored.tag_of(at[r]), hi - lo))
-            counts.append(len(lo))
     if not docs:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return anchored.merged(np.concatenate(docs), np.concatenate(places))
+        return (np.empty(0, np.int64),) * 3
+    return anchored.merged(np.concatenate(docs), np.concatenate(subs), np.concatenate(places))
 
 
 def _merged_transforms(window: int):
@@ -154,18 +154,18 @@ def _merged_transforms(window: int):
         held, size = [], 0
 
         def judged() -> Iterator[pa.RecordBatch]:
-            doc, at, state = (np.concatenate([h[i] for h in held]) for i in range(3))
-            d, a = _judge(doc, at, state, [s for h in held for s in h[3]], window)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(np.full(len(d), anchored.COVERED, np.int32))], names=["doc", "at", "state"])
+            doc, sub, at, state = (np.concatenate([h[i] for h in held]) for i in range(4))
+            d, s, a = _judge(doc, sub, at, state, [x for h in held for x in h[4]], window)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(a), pa.array(np.full(len(d), anchored.COVERED, np.int32))], names=["doc", "sub", "at", "state"])
 
         for table, bounds in sorted_runs(batches, ["key"]):
-            doc, at, state = (table[c].to_numpy() for c in ("doc", "at", "state"))
+            doc, sub, at, state = (table[c].to_numpy() for c in ("doc", "sub", "at", "state"))
             strings = table["string"]
             for r in np.flatnonzero(np.diff(bounds) > 1):
                 run = slice(int(bounds[r]), int(bounds[r + 1]))
                 if (state[run] == anchored.ASK).any():
-                    held.append((doc[run], at[run], state[run], strings[run].to_pylist()))
-                    size += sum(map(len, held[-1][3]))
+                    held.append((doc[run], sub[run], at[run], state[run], strings[run].to_pylist()))
+                    size += sum(map(len, held[-1][4]))
                     if size > MERGE:
                         yield from judged()
                         held, size = [], 0
@@ -177,26 +177,26 @@ def _merged_transforms(window: int):
 def _crowded_windows(window: int):
     """Strings -> their windows, each by two hashes of all its bytes."""
     def of(b: pa.RecordBatch) -> Iterator[tuple]:
-        for doc, at, string in zip(b.column(0).to_numpy().tolist(), b.column(1).to_numpy().tolist(), b.column(2), strict=True):
+        for doc, sub, at, string in zip(*(b.column(c).to_numpy().tolist() for c in range(3)), b.column(3), strict=True):
             values = BYTE_VALUES[np.frombuffer(string.as_buffer(), np.uint8)]
             i = np.arange(len(values) - window + 1)
             place = anchored.pack(anchored.start_of(np.int64(at)) + i, np.full(len(i), anchored.tag_of(np.int64(at))), np.ones(len(i), np.int64))
-            yield range_hashes(values, i, i + window, 31).view(np.int64), range_hashes(values, i, i + window, 32).view(np.int64), np.full(len(i), doc), place
+            yield range_hashes(values, i, i + window, 31).view(np.int64), range_hashes(values, i, i + window, 32).view(np.int64), np.full(len(i), doc), np.full(len(i), sub), place
     return of
 
 
 def covered_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(texts with tags, ranges of windows that occur anywhere else, too)."""
-    # a missing id is an id of its own here: what it repeats goes like anything else
-    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id"), anchored.tag(F.col("text")).alias("tag"), "text")
+    # ids are not compared here, so each id and text goes by one hash, and a missing id is an id like others
+    texts = docs.select("doc_id", anchored.text_key(F.col("text"), F.col("doc_id")).alias("doc"), F.lit(0).cast("long").alias("sub"), anchored.tag(F.col("text")).alias("tag"), "text")
     known = texts.where("text is not null")
-    found = stored(anchored.meet(anchored.map_fragments(known.select("doc_id", "tag", "text"), _fragments(window), smaller=False), smaller=False), "fragments")
-    asked = anchored.by_document(anchored.asked(found), known.select("doc_id", "tag", "text").distinct(), "inner", ["doc_id", "tag", "text", "ats", "states"])
+    found = stored(anchored.meet(anchored.map_fragments(known.select("doc", "sub", "tag", "text"), _fragments(window), smaller=False), smaller=False), "fragments")
+    asked = anchored.by_document(anchored.asked(found), known.select("doc", "sub", "tag", "text").distinct(), "inner", ["doc", "sub", "tag", "text", "ats", "states"])
     strings = stored(asked.mapInArrow(_strings(window), STRINGS), "strings")
     crowded = stored(strings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
     few = strings.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    single = few.mapInArrow(_merged_transforms(window), "doc long, at long, state int")
-    many = strings.join(crowded, "key", "left_semi").select("doc", "at", "string", "state")
+    single = few.mapInArrow(_merged_transforms(window), anchored.RANGES)
+    many = strings.join(crowded, "key", "left_semi").select("doc", "sub", "at", "string", "state")
     windows = anchored.meet(anchored.map_fragments(many, _crowded_windows(window), smaller=False), smaller=False)
     return texts, anchored.covered(found).unionByName(stored(single.unionByName(anchored.covered(windows)), "windows"))
 
@@ -229,5 +229,5 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A byte goes if a string of `window` bytes covers it that starts anywhere else, too, in this text or another.
     Null texts are empty. Texts below a window stay whole; repeated rows repeat each other, whatever their ids."""
     texts, ranges = covered_windows(docs, window)
-    both = anchored.by_document(ranges, texts, "left", ["_id", "text", "ats"])
+    both = anchored.by_document(ranges, texts, "left", ["doc_id", "text", "ats"])
     return both.mapInArrow(_removed(window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

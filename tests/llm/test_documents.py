@@ -290,6 +290,20 @@ def test_repeated_bytes(spark, edge_docs, no_docs, sf_dir, monkeypatch):
     assert suffix_dedup.remove_repeated_bytes(no_docs).count() == 0
 
 
+def many_texts(doc_id):
+    """So many texts that some share 16 bits of a hash: a passage that all have, further on in each; and shorter ones without it."""
+    passage = " ".join(f"common{k}" for k in range(30))
+    return [(doc_id, " ".join(f"t{n}x{k}" for k in range(15 + n % 40)) + (" " + passage if n % 2 else "")) for n in range(1500)]
+
+
+def test_repeated_bytes_of_many_texts_under_one_id(spark):
+    for doc_id in (None, 7):
+        rows = many_texts(doc_id)
+        want = Counter((i, *x) for (i, _), x in zip(rows, brute_bytes([t for _, t in rows], 200), strict=True))
+        got = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
 # ---- 9
 
 def test_bpe_as_the_library(spark, edge_docs, no_docs):
@@ -341,6 +355,12 @@ def test_repeated_words(spark, edge_docs, no_docs):
     assert recompression.remove_repeated_words(no_docs).count() == 0
 
 
+def test_repeated_words_of_many_texts_under_one_id(spark):
+    rows = many_texts(7) + [(1, many_texts(1)[1][1])]
+    got = recompression.remove_repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(rows, 13)
+
+
 def test_repeated_words_in_parts(spark, edge_docs):
     """Texts that go in parts give the same anchors."""
     text = (" ".join(f"w{i % 977} x{i % 13}" for i in range(3000))).encode()

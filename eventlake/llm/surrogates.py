@@ -15,12 +15,12 @@ from eventlake.llm.common import stored, whole_row
 _EDGE = r"[\p{L}\p{N}._%+-]"
 _TITLES = {"m": ["Mr", "Herr", "Sr", "Señor", "Monsieur", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Madame", "Mme", "Госпожа"]}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: Kinds in the order in which they are tried, each a Java pattern.
+#: Kinds in the order in which they are tried, each a Java pattern. Secrets have no longest length; their runs are possessive.
 PATTERNS = {
     "mail": rf"(?<!{_EDGE}){_EDGE}{{1,64}}+@[\p{{L}}\p{{N}}-]{{1,63}}(?:\.[\p{{L}}\p{{N}}-]{{1,63}}){{0,8}}\.\p{{L}}{{2,24}}",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|eyJ[\w-]{10,500}\.[\w-]{10,2000}\.[\w-]{10,500})(?![A-Za-z0-9])"
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+|eyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]{10,}+)(?![A-Za-z0-9])"
               # the first look-behind is cheap and fails nearly everywhere
-              r"|(?<=[=:\"']|[=:]\s|[=:]\s\s)(?<=(?i:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_=-]{8,512}",
+              r"|(?<=[=:\"']|[=:]\s|[=:]\s\s)(?<=(?i:token|secret|password|passwd|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_=-]{8,}+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\d-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\d-])",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?\d{3}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]\d{2,4}){3,5}(?!\d)",

@@ -212,6 +212,22 @@ def test_surrogates(spark):
     assert got[10].text.split(" ")[1] == got[10].text.split(" ")[3]
 
 
+def test_long_secrets_go_whole(spark):
+    rng = np.random.default_rng(5)
+
+    def run(n, of="abcdefghijkmnopqrstuvwxyzABCDEFGHIJKLMNPQRSTUVWXYZ0123456789"):
+        return "".join(rng.choice(list(of), n))
+
+    secrets = ["api_key=" + run(800), "password: " + run(6000), f"eyJ{run(40)}.{run(5000)}.{run(683)}", f"eyJ{run(900)}.{run(900)}.{run(5000)}",
+               run(4000, "0123456789abcdef"), run(129, "0123456789ABCDEF"), "sk-" + run(3000)]
+    docs = spark.createDataFrame([(i, f"before {s} after") for i, s in enumerate(secrets)], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace_private(docs).collect()}
+    for i, s in enumerate(secrets):
+        text = got[i].text
+        assert got[i].n_replaced == 1 and text.startswith("before ") and text.endswith(" after") and len(text) == len(s) + 13
+        assert not any(s[k:k + 12] in text for k in range(10, len(s) - 11))
+
+
 def test_surrogates_stay_distinct(spark):
     """Two octets of one digit each leave few surrogates: draws collide, and real ones are in the way."""
     values = [("box", f"{a}{b}") for a in range(10) for b in range(9)] + [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)] + [("given f", f"name{i}") for i in range(60)]

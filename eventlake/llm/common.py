@@ -54,6 +54,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
         pa.default_memory_pool().release_unused()
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of `most` bytes of the text column at most, or of one row."""
+    for b in slices(batches):
+        _, at = byte_view(b.column(text))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column in one array, and the offsets of its rows; a null is an empty row."""
     if isinstance(column, pa.ChunkedArray):

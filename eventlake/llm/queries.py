@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlake.llm import bpe, chat_format, exact_dedup, itq_dedup, mixing, quality, recompression, simhash, suffix_dedup, surrogates
+from eventlake.llm import (
+    bpe,
+    chat_format,
+    exact_dedup,
+    itq_dedup,
+    mixing,
+    periodic_runs,
+    quality,
+    recompression,
+    simhash,
+    suffix_dedup,
+    surrogates,
+    token_files,
+    vector_codes,
+)
 from eventlake.llm.common import LOWER, UPPER, read
+from eventlake.session import new_scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,3 +168,114 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 @query
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("kept")
+
+
+# ---- 11 ---------------------------------------------------------------------------------------
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_scratch(spark, "token-files")
+    token_files.write_token_files(read(spark, sf_dir, "documents"), folder)
+    return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# ---- 12 ---------------------------------------------------------------------------------------
+
+def plant_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The query's own input: one document in ten repeats a stretch of itself to its end. A row without an id stays as it is."""
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a: a + p] * ((n - a) // p + 1))[: n - a]
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), plant_period)
+    # the greatest length / period; the fractions of one document differ in doubles whenever they differ (words < 2^26)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("x"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+# ---- 13 ---------------------------------------------------------------------------------------
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+SQL["op12_periodic_runs"] = r"""
+WITH poly AS (
+    SELECT list(c ORDER BY b) AS t FROM (
+        SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS c FROM range(256) r(b))),
+d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+                           lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)]), 4294967295), 4294967295) AS h
+    FROM documents, poly),
+p AS (
+    SELECT doc_id, w, h, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p
+    FROM d),
+v AS (
+    SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[:a], list_transform(range(n - a), lambda i: w[a + 1 + i % p])) ELSE w END AS w
+    FROM p),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM v),
+pairs AS (
+    SELECT b.doc_id, b.i, b.i - a.i AS q FROM x a JOIN x b USING (doc_id, word) WHERE b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs),
+long AS MATERIALIZED (
+    SELECT doc_id, q AS period, min(i) - q AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, g
+    HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS MATERIALIZED (
+    SELECT * FROM long l WHERE NOT EXISTS (
+        SELECT 1 FROM long s WHERE s.doc_id = l.doc_id AND s.period < l.period AND s.start <= l.start AND s.start + s.length >= l.start + l.length)),
+digest AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+           first({'start': start, 'length': length, 'period': period} ORDER BY length / period DESC, start, period) AS best
+    FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+       CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM v LEFT JOIN digest USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _op13_sql() -> str:
+    steps = ["""v AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             """parts AS MATERIALIZED (
+    SELECT vec_id, pos, CAST(v[1 + pos * len(v) // 4: (pos + 1) * len(v) // 4] AS DOUBLE[]) AS x FROM v, range(4) r(pos))""",
+             """book0 AS MATERIALIZED (
+    SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY vec_id) - 1 AS entry, x FROM parts
+    WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256))"""]
+    for r in range(5):
+        steps.append(f"""near{r} AS MATERIALIZED (
+    SELECT vec_id, p.pos, any_value(p.x) AS x,
+           min(256 * CAST(list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x) AS BIGINT) + entry) AS hit
+    FROM parts p JOIN book{r} b ON p.pos = b.pos GROUP BY vec_id, p.pos)""")
+        if r < 4:
+            steps.append(f"""sum{r} AS (
+    SELECT pos, hit % 256 AS entry, k, floor(sum(x[k]) / count(*)) AS c FROM near{r}, range(1, 1 + (SELECT max(len(x)) FROM parts)) t(k)
+    GROUP BY pos, hit % 256, k)""")
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+    SELECT pos, entry, coalesce(y, x) AS x
+    FROM book{r} LEFT JOIN (SELECT pos, entry, list(c ORDER BY k) AS y FROM sum{r} GROUP BY pos, entry) USING (pos, entry))""")
+    steps.append("""digest AS (
+    SELECT sha256(string_agg(CAST(CAST(x[k] AS BIGINT) AS VARCHAR), ',' ORDER BY pos, entry, k)) AS codebooks_sha256
+    FROM book4, range(1, 1 + (SELECT max(len(x)) FROM parts)) t(k))""")
+    steps.append("""coded AS (
+    SELECT vec_id, string_agg(format('{:02x}', hit % 256), '' ORDER BY pos) AS code, CAST(sum(hit // 256) AS BIGINT) AS error FROM near4 GROUP BY vec_id)""")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), digest"""
+
+
+SQL["op13_vector_codes"] = _op13_sql()

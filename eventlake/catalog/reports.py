@@ -147,6 +147,22 @@ def _(s, d):
     return read_hot(s, root).groupBy("batch", "day").agg(F.count("*").alias("rows"))
 
 
+@query("report_file_over_many_tasks", sql(
+    """SELECT id, received_at, device_kind, day, 'said ""no"",' || chr(10) || k || CASE WHEN k % 2 = 0 THEN chr(13) || chr(10) || '.' ELSE '"' END AS note,
+              true AS many_tasks
+       FROM rep""".replace('""', '"'), EV, REPORTS))
+def _(s, d):
+    # one plain file with line breaks and quotes inside of its fields, in ranges of 64 KB
+    events = s.read.parquet(f"{d}/events.parquet").select("event_id", json_text("props", "k").cast("int").alias("k"))
+    end = F.when(F.col("k") % 2 == 0, F.lit("\r\n.")).otherwise(F.lit('"'))
+    notes = events.select(F.concat(F.lit("a/"), F.col("event_id").cast("string")).alias("archive_path"), F.concat(F.lit('said "no",\n'), F.col("k").cast("string"), end).alias("note"))
+    rows = report_rows(s, d).drop("note").join(notes, "archive_path").hint("rebalance")
+    path = _batch_file(s, d, "big.csv", rows, gzip=False)
+    read = read_report_files(s, checked_files(s, path), EXAMPLE_REPORT, range_bytes=1 << 16)
+    tasks = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    return read.select("id", utc_clock(F.col("updated_at")).alias("received_at"), "device_kind", utc_day(F.col("updated_at")).alias("day"), "note", F.lit(tasks > 1).alias("many_tasks"))
+
+
 @query("report_files_under_wrong_names", sql("SELECT device_kind, count(*) AS rows FROM rep GROUP BY 1", EV, REPORTS))
 def _(s, d):
     # gzip files whose names say plain CSV; the scan has to go by their first bytes

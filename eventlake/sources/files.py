@@ -31,6 +31,12 @@ def arrow_uri(path: str) -> str:
     return f"{ARROW_SCHEMES[scheme]}:{rest}"
 
 
+def can_read(path: str) -> bool:
+    """Whether tasks can read the path by themselves; what they cannot read is left to Spark's readers."""
+    scheme, colon, _ = path.partition(":")
+    return not colon or "/" in scheme or scheme == "file" or scheme in ARROW_SCHEMES
+
+
 def arrow_location(path: str):
     """(file system, path in it) for code that runs in tasks."""
     import pyarrow.fs as pafs

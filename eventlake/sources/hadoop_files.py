@@ -48,6 +48,11 @@ def first_bytes(spark: SparkSession, path: str, count: int = 2) -> bytes:
     return bytes(b for b in got if b >= 0)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    p, fs = _path(spark, path)
+    return fs.getFileStatus(p).getLen()
+
+
 def visible_files(spark: SparkSession, path: str) -> dict[str, int]:
     """A file itself, or the data files directly in a folder, with their sizes, from one listing."""
     p, fs = _path(spark, path)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from eventlake.schemas import ReportSpec
 from eventlake.session import new_scratch
 from eventlake.sources import hadoop_files as hf
-from eventlake.sources.files import arrow_location
+from eventlake.sources.files import arrow_location, can_read
+from eventlake.sources.quoted_csv import RANGE_BYTES, read_quoted
 
 _GZIP_MAGIC = b"\x1f\x8b"
 _BATCH_NAME = re.compile(r"[A-Za-z0-9._-]+")
@@ -86,11 +88,19 @@ def check_header(columns: list[str], spec: ReportSpec) -> None:
         raise BadBatch(f"the header lacks these columns: {', '.join(missing)}")
 
 
-def read_report_files(spark: SparkSession, files: list[str], spec: ReportSpec) -> DataFrame:
+def read_report_files(spark: SparkSession, files: list[str], spec: ReportSpec, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Scan with the types of the spec; columns beyond it are kept as text.
 
-    The first header gives the column order, the tasks hold every other file against it."""
+    The first header gives the column order, the tasks hold every other file against it. A plain file is cut over many tasks; a gzip file, or one whose
+    quotes do not follow the rules, is one task."""
     columns = header_of(spark, files[0])
     check_header(columns, spec)
     schema = ", ".join(f"`{c}` {spec.file_columns.get(c, 'string')}" for c in columns)
-    return spark.read.options(**_READ).option("enforceSchema", False).schema(schema).csv(files)
+    plain = {f: hf.size_of(spark, f) for f in files if not f.endswith(".gz") and can_read(f)}
+    options = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in _READ.items() if k != "header"}
+    cut, odd = read_quoted(spark, plain, columns, schema, options, range_bytes)
+    rest = [f for f in files if f not in plain or f in odd]
+    parts = [] if cut is None else [cut]
+    if rest:
+        parts.append(spark.read.options(**_READ).option("enforceSchema", False).schema(schema).csv(rest))
+    return reduce(DataFrame.union, parts)

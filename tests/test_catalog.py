@@ -27,5 +27,7 @@ def test_every_query_has_sql():
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    # every query of the core has SQL; the text operators answer for theirs in tests/llm
+    assert REGISTRY.keys() <= entry.queries().keys() and REGISTRY.keys() <= entry.oracle_sql().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
     assert entry.entry(spark).count() == 10

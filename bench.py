@@ -58,10 +58,12 @@ def questions(spark, root):
         yield f"failures_by_conn_json/{layout}", lambda ev=ev: ask.failures_by_conn_json(ev, *WEEK)
         if layout == "sorted":
             yield f"failures_by_conn_column/{layout}", lambda ev=ev: ask.failures_by_conn_column(ev, *WEEK)
+    bitmaps = read_small_table(spark, root, "rollup_daily_device_bitmaps")
     health = read_small_table(spark, root, "rollup_daily_health")
     errors = read_small_table(spark, root, "rollup_daily_errors")
     yield "failures_one_day/rollup", lambda: ask.failures_one_day_rollup(health, BAD_DAY)
     yield "top_errors_week/rollup", lambda: ask.top_errors_rollup(errors, codes, *WEEK)
+    yield "devices_hit_by_error/bitmaps", lambda: ask.devices_hit_by_error_rollup(bitmaps, ERROR_CODE, *WEEK)
     yield "fail_rate_by_model_os/rollup", lambda: ask.fail_rate_by_model_os_rollup(health)
 
 

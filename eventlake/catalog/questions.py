@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from eventlake.catalog.base import (
     BAD_DAY,
     DEVICE,
@@ -18,6 +20,8 @@ from eventlake.catalog.base import (
     query,
     sql,
 )
+from eventlake.functions import in_window
+from eventlake.operators.rollups import merge_device_bitmaps, merge_device_sketches
 from eventlake.plans import questions as ask
 from eventlake.sources.events import device_events, error_codes
 from eventlake.sources.views import read_small_table
@@ -65,6 +69,19 @@ def errors(s, d):
     return read_small_table(s, built(s, d, "rollups"), "rollup_daily_errors")
 
 
+def bitmaps(s, d):
+    return read_small_table(s, built(s, d, "rollups"), "rollup_daily_device_bitmaps")
+
+
+def _sketched_and_exact(s, d):
+    """Estimates of the stored sketches beside the exact counts of the stored bitmaps."""
+    sketches = read_small_table(s, built(s, d, "rollups"), "rollup_daily_device_sketches")
+    about = merge_device_sketches(sketches.where(in_window(*MONTH)), "error_code")
+    exact = merge_device_bitmaps(bitmaps(s, d).where(in_window(*MONTH)), "error_code").withColumnRenamed("devices", "exact")
+    near = F.abs(F.col("devices") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * 0.05)
+    return exact.join(about, "error_code").select("error_code", "exact", near.alias("close"))
+
+
 def cleaned(s, d):
     return layout(s, d, "sorted")
 
@@ -106,6 +123,15 @@ query("failures_one_day_rollup", ONE_DAY_SQL)(
     lambda s, d: ask.failures_one_day_rollup(health(s, d), BAD_DAY))
 query("top_errors_week_rollup", TOP_ERRORS_SQL)(
     lambda s, d: ask.top_errors_rollup(errors(s, d), error_codes(s), *WEEK))
+query("devices_hit_by_error_rollup", DEVICES_SQL)(
+    lambda s, d: ask.devices_hit_by_error_rollup(bitmaps(s, d), ERROR_CODE, *WEEK))
+query("devices_hit_by_each_code_rollup", sql(
+    f"""SELECT error_code, count(DISTINCT device_id) AS devices FROM ev
+        WHERE {between(MONTH)} AND status = 'fail' GROUP BY 1"""))(
+    lambda s, d: merge_device_bitmaps(bitmaps(s, d).where(in_window(*MONTH)), "error_code"))
+query("stored_sketches", sql(
+    f"""SELECT error_code, count(DISTINCT device_id) AS exact, true AS close FROM ev
+        WHERE {between(MONTH)} AND status = 'fail' GROUP BY 1"""))(_sketched_and_exact)
 query("fail_rate_by_model_os_rollup", FAIL_RATE_SQL)(
     lambda s, d: ask.fail_rate_by_model_os_rollup(health(s, d)))
 query("failures_per_day_rollup", PER_DAY_SQL)(

@@ -22,6 +22,22 @@ def rollup_daily_errors(events: DataFrame) -> DataFrame:
     )
 
 
+def rollup_device_bitmaps(events: DataFrame) -> DataFrame:
+    """The failing devices of each day and error code, exactly: one bit per device id, 32,768 ids to a bitmap of 4 KB, and a row for
+    each bitmap that has a bit. A bitmap grows with the range of ids, not with the events."""
+    return (
+        events.where("status = 'fail' and device_id is not null")
+        .groupBy("day", "error_code", F.bitmap_bucket_number("device_id").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("device_id")).alias("bitmap"))
+    )
+
+
+def merge_device_bitmaps(bitmaps: DataFrame, *keys: str) -> DataFrame:
+    """Exact distinct devices over all merged bitmaps; without keys, one row, 0 if there are none."""
+    merged = bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("_bits"))
+    return merged.groupBy(*keys).agg(F.coalesce(F.sum("_bits"), F.lit(0)).alias("devices"))
+
+
 def rollup_device_sketches(events: DataFrame, *keys: str) -> DataFrame:
     """Distinct counts cannot be added up over days, sketches can be merged: one sketch of the
     failing devices per day (and any further keys)."""

@@ -1,6 +1,6 @@
 """Write the same events in different layouts.
 
-All writers shuffle by day with a rebalance hint: adaptive execution merges small days into one
+The cleaned layer is dealt out by ranges of its sort key. The other writers shuffle by day with a rebalance hint: adaptive execution merges small days into one
 task and splits a day that is too large into several tasks and files, so no day has to pass
 through one task. The file size follows spark.sql.adaptive.advisoryPartitionSizeInBytes."""
 
@@ -15,12 +15,17 @@ from pyspark.sql import functions as F
 
 from eventlake.fixed_values import SORT_KEY, SORTED_ROW_GROUP_BYTES, TINY_FILES_PER_DAY
 from eventlake.functions import json_text
-from eventlake.operators.rollups import rollup_daily_errors, rollup_daily_health
+from eventlake.operators.rollups import (
+    rollup_daily_errors,
+    rollup_daily_health,
+    rollup_device_bitmaps,
+    rollup_device_sketches,
+)
 from eventlake.schemas import EVENT_CLEAN
 from eventlake.sources import hadoop_files as hf
 from eventlake.sources.events import CSV_WRITE, LAYOUTS, error_codes, read_layout
 from eventlake.sources.files import list_files
-from eventlake.sources.views import SMALL_TABLES, read_small_table
+from eventlake.sources.views import DEVICE_SETS, SMALL_TABLES, read_small_table
 
 
 def with_conn(events: DataFrame) -> DataFrame:
@@ -35,10 +40,13 @@ def in_layout_order(events: DataFrame, sort_by: Iterable[str] = SORT_KEY) -> Dat
 
 
 def _write_days(df: DataFrame, path: str, *folders: str, replace_days: bool = False,
-                row_group_bytes: int | None = None, rows_per_file: int = 0) -> None:
+                row_group_bytes: int | None = None, rows_per_file: int = 0, bloom: Iterable[str] = ()) -> None:
     writer = df.write.mode("overwrite").option("compression", "zstd").partitionBy("day", *folders)
     if row_group_bytes:
         writer = writer.option("parquet.block.size", row_group_bytes)
+    for column in bloom:
+        # of the sizes it tries, the writer keeps the smallest one that fits the row group's values
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     if replace_days:
@@ -53,12 +61,19 @@ def write_by_day(events: DataFrame, path: str, replace_days: bool = False) -> No
     _write_days(events.hint("rebalance", "day"), path, replace_days=replace_days)
 
 
+def in_day_ranges(events: DataFrame, sort_by: Iterable[str] = SORT_KEY) -> DataFrame:
+    """Deal rows out by sampled ranges of (day, sort key, event_id), so that a day that is cut over many tasks is cut along the sort
+    key: what is rare in it, like failures, lies in a few of its files and not in all. The event id comes last, so
+    that no value is too frequent to be cut. Adaptive execution puts small neighbours together."""
+    return events.repartitionByRange("day", *[F.asc_nulls_last(c) for c in sort_by], "event_id")
+
+
 def write_sorted(cleaned: DataFrame, path: str, replace_days: bool = False) -> None:
-    """The cleaned layer: day folders whose files are sorted, so that rare failures sit together
-    and readers can skip the rest."""
-    ordered = in_layout_order(cleaned.hint("rebalance", "day").select(*EVENT_CLEAN.fieldNames()))
+    """The cleaned layer: day folders whose files are sorted ranges of the day, so that rare failures sit together
+    and readers can skip the rest. The device is in no sort key; a Bloom filter per row group tells where it is not."""
+    ordered = in_layout_order(in_day_ranges(cleaned.select(*EVENT_CLEAN.fieldNames())))
     # small row groups, so that sorted values leave many of them to skip
-    _write_days(ordered, path, replace_days=replace_days, row_group_bytes=SORTED_ROW_GROUP_BYTES)
+    _write_days(ordered, path, replace_days=replace_days, row_group_bytes=SORTED_ROW_GROUP_BYTES, bloom=("device_id",))
 
 
 def write_tiny_files(events: DataFrame, path: str, per_day: int = TINY_FILES_PER_DAY,
@@ -84,36 +99,53 @@ def write_csv(events: DataFrame, path: str) -> None:
 
 
 ROLLUPS = (("rollup_daily_health", rollup_daily_health), ("rollup_daily_errors", rollup_daily_errors))
+SETS = (("rollup_daily_device_bitmaps", rollup_device_bitmaps),
+        ("rollup_daily_device_sketches", lambda events: rollup_device_sketches(events, "error_code")))
 
 
 def write_rollups(events: DataFrame, root: str, days: list[date] | None = None) -> None:
-    """Build both daily roll-ups, for all days or only for days that were touched.
+    """Build the daily roll-ups and the daily sets of failing devices, for all days or only for days that were touched.
 
     A folder per month holds a few files sorted by day, so a year of days is no thousand tiny files. Touched days are
-    built again and put together with the others of their months; a month is replaced whole."""
+    built again and put together with the others of their months; a month is replaced whole. All tables are staged
+    first and then published together."""
     spark = events.sparkSession
     touched = events if days is None else events.where(F.col("day").isin(days))
     months = {f"{d:%Y-%m}" for d in days or ()}
-    for name, rollup in ROLLUPS:
-        path = f"{root}/{SMALL_TABLES[name][0]}"
+    run = uuid.uuid4().hex[:12]
+    journal = f"{root}/rollups_journal"
+
+    def place(name: str) -> str:
+        table, _, folder = name.partition("--")
+        return f"{root}/{(SMALL_TABLES | DEVICE_SETS)[table][0]}/{folder}"
+
+    hf.recover(spark, place, journal)
+    moves: dict[str, tuple[str | None, str]] = {}
+    empty = []
+    for name, rollup in ROLLUPS + SETS:
+        folder, schema = (SMALL_TABLES | DEVICE_SETS)[name]
+        path = f"{root}/{folder}"
         rows = rollup(touched)
-        if days is not None and hf.exists(spark, path):
+        fresh = not hf.exists(spark, path)
+        if days is not None and not fresh:
             month = F.date_format("day", "yyyy-MM")
             rest = read_small_table(spark, root, name).where(month.isin(sorted(months)) & ~F.col("day").isin(days))
             rows = rows.unionByName(rest)
-        staged = f"{root}/_incoming/{name}-{uuid.uuid4().hex[:12]}"
+        staged = f"{root}/_incoming/{name}-{run}"
         placed = rows.withColumn("month", F.date_format("day", "yyyy-MM"))
-        (placed.hint("rebalance", "month").sortWithinPartitions("month", *[c for c in ("day", "status", "error_code") if c in placed.columns])
+        (placed.hint("rebalance", "month").sortWithinPartitions("month", *[c for c in ("day", "status", "error_code", "bucket") if c in placed.columns])
          .write.option("compression", "zstd").partitionBy("month").parquet(staged))
         built = {n for n in hf.child_names(spark, staged) if n.startswith("month=")}
         old = {n for n in hf.child_names(spark, path) if n.startswith("month=")}
         gone = old - built if days is None else {f"month={m}" for m in months} & old - built
-        moves = {n: (f"{staged}/{n}", f"{path}/{n}") for n in built} | {n: (None, f"{path}/{n}") for n in gone}
-        hf.recover(spark, lambda n, path=path: f"{path}/{n}", f"{path}_journal")
-        hf.publish(spark, moves, f"{path}_journal")
-        if not hf.exists(spark, path):
-            rows.limit(0).write.mode("overwrite").parquet(path)
-        hf.drop(spark, staged)
+        moves |= {f"{name}--{n}": (f"{staged}/{n}" if n in built else None, place(f"{name}--{n}")) for n in built | gone}
+        if fresh and not built:
+            empty.append((path, schema))
+    hf.publish(spark, moves, journal)
+    for path, schema in empty:
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    for name, _ in ROLLUPS + SETS:
+        hf.drop(spark, f"{root}/_incoming/{name}-{run}")
 
 
 def write_error_codes(spark: SparkSession, root: str, first: int = 1000, count: int = 200) -> None:

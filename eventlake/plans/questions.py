@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.functions import fail_pct, in_window, json_text
+from eventlake.operators.rollups import merge_device_bitmaps, merge_device_sketches
 
 
 def failed() -> Column:
@@ -52,6 +53,18 @@ def devices_hit_by_error(events: DataFrame, code: int, first: date, last: date)
     return hit.agg(F.countDistinct("device_id").alias("devices"))
 
 
+def devices_hit_by_error_rollup(bitmaps: DataFrame, code: int, first: date, last: date) -> DataFrame:
+    """From the stored daily bitmaps: exact for any window, without the events."""
+    chosen = bitmaps.where(in_window(first, last) & (F.col("error_code") == F.lit(code).cast("smallint")))
+    return merge_device_bitmaps(chosen)
+
+
+def devices_hit_by_error_sketched(sketches: DataFrame, code: int, first: date, last: date) -> DataFrame:
+    """From the stored daily sketches: an estimate from far fewer bytes than the bitmaps'."""
+    chosen = sketches.where(in_window(first, last) & (F.col("error_code") == F.lit(code).cast("smallint")))
+    return merge_device_sketches(chosen).select(F.coalesce("devices", F.lit(0)).alias("devices"))
+
+
 def _worst(groups: DataFrame, k: int) -> DataFrame:
     rated = groups.select("device_model", "os_version", "events",
                           fail_pct(F.col("failures"), F.col("events")).alias("fail_pct"))

@@ -44,6 +44,17 @@ ROLLUP_DAILY_ERRORS = T.StructType([
     T.StructField("failures", T.LongType()),
     T.StructField("devices", T.LongType()),
 ])
+ROLLUP_DAILY_DEVICE_BITMAPS = T.StructType([
+    DAY,
+    T.StructField("error_code", T.ShortType()),
+    T.StructField("bucket", T.LongType()),
+    T.StructField("bitmap", T.BinaryType()),
+])
+ROLLUP_DAILY_DEVICE_SKETCHES = T.StructType([
+    DAY,
+    T.StructField("error_code", T.ShortType()),
+    T.StructField("device_sketch", T.BinaryType()),
+])
 RUN = T.StructType([
     T.StructField("step", T.StringType()),
     T.StructField("scale", T.StringType()),

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import date
 
 import pytest
@@ -211,12 +212,9 @@ def test_a_day_with_most_rows_is_split_over_tasks(spark, sf_dir, tmp_path):
     # two thirds of all rows on one day; files are kept small, so that the split shows
     events = device_events(spark, "/root/testdata/sf0.1").repartition(16)
     hot = events.withColumn("day", F.when(F.col("event_id") % 3 > 0, F.lit(DAYS[0])).otherwise(F.col("day")))
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    spark.conf.set(key, "512KB")
-    try:
+    # ranges first, then small neighbours are put together
+    with settings(spark, **{"spark.sql.adaptive.advisoryPartitionSizeInBytes": "512KB", "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "64"}):
         lay.write_sorted(lay.with_conn(hot), str(tmp_path / "sorted"))
-    finally:
-        spark.conf.unset(key)
     stored = read_layout(spark, str(tmp_path), "sorted")
     per_file = stored.where(F.col("day") == F.lit(DAYS[0])).groupBy(F.col("_metadata.file_path")).count()
     sizes = [r["count"] for r in per_file.collect()]
@@ -224,3 +222,76 @@ def test_a_day_with_most_rows_is_split_over_tasks(spark, sf_dir, tmp_path):
     assert stored.count() == events.count()
     flips = count_flips(stored, "status").agg(F.max("flips")).first()[0]
     assert flips == 1
+
+
+@contextmanager
+def settings(spark, **conf):
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+
+
+def test_failures_of_a_large_day_lie_in_few_files(spark, tmp_path):
+    events = device_events(spark, "/root/testdata/sf0.1").withColumn("day", F.lit(DAYS[0])).repartition(16)
+    with settings(spark, **{"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB", "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "64"}):
+        lay.write_sorted(lay.with_conn(events), str(tmp_path / "sorted"))
+    stored = read_layout(spark, str(tmp_path), "sorted")
+    per_file = stored.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"), F.count_if(F.col("status") == "fail").alias("bad")).orderBy("file").collect()
+    bad = [r["bad"] for r in per_file]
+    share = sum(bad) / sum(r["rows"] for r in per_file)
+    assert len(per_file) >= 5 and sum(b > 0 for b in bad) <= share * len(per_file) + 2
+    assert bad == sorted(bad, reverse=True) or bad[0] == per_file[0]["rows"]  # they come first
+    # nulls come last within the codes, and a code lies in neighbouring files
+    spans = stored.where("status = 'fail'").groupBy("error_code").agg(F.countDistinct("_metadata.file_path").alias("files")).agg(F.max("files")).first()[0]
+    assert spans <= 2
+
+
+def test_a_value_that_all_rows_share_is_still_split(spark, tmp_path):
+    events = device_events(spark, "/root/testdata/sf0.1")
+    same = events.withColumns({"day": F.lit(DAYS[0]), "status": F.lit("fail"), "error_code": F.lit(1000).cast("smallint"), "device_model": F.lit("m"),
+                               "event_ts": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")}).repartition(16)
+    with settings(spark, **{"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB", "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "64"}):
+        lay.write_sorted(lay.with_conn(same), str(tmp_path / "sorted"))
+    sizes = [r["count"] for r in read_layout(spark, str(tmp_path), "sorted").groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < sum(sizes) / 2 and sum(sizes) == 100_000
+
+
+def rows_scanned(df):
+    """Rows that the scan of a query gave out: those of the row groups that were read."""
+    df.collect()
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+            continue
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            nodes.append(node.plan())
+            continue
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        nodes.extend(children.apply(i) for i in range(children.size()))
+    return total
+
+
+def test_bloom_filters_skip_row_groups_of_other_devices(spark, tmp_path):
+    """Row groups whose range holds the device, and whose ids are too many for a dictionary: only the filter can tell."""
+    n = 40_000
+    device = F.when(F.col("id") % 7 == 0, F.lit(n * 2)).when(F.col("id") % 7 == 1, F.lit(-1)).otherwise(F.col("id") * 2)
+    frame = spark.range(n).repartition(4).select(device.alias("device_id"), F.lit(DAYS[0]).alias("day"), F.col("id").alias("event_id"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    path = str(tmp_path / "days")
+    with settings(spark, **{"parquet.enable.dictionary": "false"}):
+        lay._write_days(frame, path, row_group_bytes=1 << 18, bloom=("device_id",))
+    stored = spark.read.parquet(path)
+    every = rows_scanned(stored.where("device_id >= -1").select("event_id"))
+    present = stored.where("device_id = 24").select("event_id")
+    assert every == n and present.count() == 1
+    assert 0 < rows_scanned(present) <= n / 2
+    # in the range of every row group, in none of them
+    assert rows_scanned(stored.where("device_id = 25").select("event_id")) <= n / 8

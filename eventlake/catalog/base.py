@@ -18,6 +18,7 @@ from eventlake.fixed_values import (
     RESEND_ONE_IN,
 )
 from eventlake.functions import window
+from eventlake.operators.zone_map import ZoneMap, save_zone_map
 from eventlake.plans import layouts as lay
 from eventlake.schemas import SCAN_STATS
 from eventlake.session import new_scratch
@@ -108,7 +109,7 @@ def between(w: tuple[date, date]) -> str:
 
 _ROOTS: dict[tuple[str, str], str] = {}
 _BUILT: set[tuple[str, str]] = set()
-_FOLDERS = {"error_codes": "lookup", "stats_sorted": "stats/sorted", "stats_by_day": "stats/by_day"}
+_FOLDERS = {"error_codes": "lookup", "stats_sorted": "stats/sorted", "stats_by_day": "stats/by_day", "zone_map": "stats/zone_map"}
 
 
 def _root(spark: SparkSession, sf_dir: str) -> str:
@@ -146,6 +147,10 @@ def _save_stats(spark: SparkSession, sf_dir: str, root: str, name: str) -> None:
     stats.hint("rebalance").write.mode("overwrite").parquet(f"{root}/stats/{name}")
 
 
+def zone_map(spark: SparkSession, sf_dir: str) -> ZoneMap:
+    return ZoneMap(spark, f"{built(spark, sf_dir, 'zone_map')}/stats/zone_map")
+
+
 def row_groups(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     root = built(spark, sf_dir, f"stats_{name}")
     return spark.read.schema(SCAN_STATS).parquet(f"{root}/stats/{name}")
@@ -162,5 +167,6 @@ _BUILDERS = {
     "error_codes": lambda s, d, r: lay.write_error_codes(s, r),
     "landing": lambda s, d, r: land(device_events(s, d), f"{r}/landing"),
     "stats_sorted": lambda s, d, r: _save_stats(s, d, r, "sorted"),
+    "zone_map": lambda s, d, r: save_zone_map(s, row_groups(s, d, "by_day"), f"{r}/stats/zone_map"),
     "stats_by_day": lambda s, d, r: _save_stats(s, d, r, "by_day"),
 }

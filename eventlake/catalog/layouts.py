@@ -20,6 +20,7 @@ from eventlake.catalog.base import (
     query,
     row_groups,
     sql,
+    zone_map,
 )
 from eventlake.functions import in_window
 from eventlake.operators import layout_report as report
@@ -284,6 +285,17 @@ def _(s, d):
                       {"day": WEEK, "status": ("fail", "fail")})
 
 
+@query("estimate_by_zone_map", sql(
+    f"""SELECT day, true AS same_bytes FROM (SELECT DISTINCT CAST(day AS VARCHAR) AS day FROM ev WHERE {between(WEEK)} AND status = 'fail')"""))
+def _(s, d):
+    asked = ["day", "status", "error_code"], {"day": WEEK, "status": ("fail", "fail")}
+    zones = zone_map(s, d).kept_row_groups(*asked).withColumnRenamed("bytes", "zone_bytes")
+    every = scan.kept_row_groups(row_groups(s, d, "by_day"), *asked)
+    day = F.regexp_extract("file", r"day=([0-9-]+)", 1)
+    both = zones.join(every, ["file", "row_group"], "full").withColumn("day", day)
+    return both.groupBy("day").agg(F.bool_and(F.col("zone_bytes").eqNullSafe(F.col("bytes"))).alias("same_bytes"))
+
+
 @query("estimate_against_bounds", sql(
     """SELECT DISTINCT CAST(day AS VARCHAR) AS folder_day FROM ev GROUP BY day
        HAVING min(device_id) <= 9 AND max(device_id) >= 3 AND min(error_code) <= 1010"""))

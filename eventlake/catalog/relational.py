@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -330,10 +331,11 @@ def _(s, d):
 
 
 @query("nulls_last_order", sql(
-    """SELECT event_id, error_code FROM ev ORDER BY status, error_code NULLS LAST, event_id LIMIT 500"""))
+    """SELECT event_id, error_code, CAST(row_number() OVER (PARTITION BY device_id, day ORDER BY error_code NULLS LAST, event_id) AS INTEGER) AS place FROM ev"""))
 def _(s, d):
-    events = device_events(s, d).orderBy("status", F.asc_nulls_last("error_code"), "event_id")
-    return events.limit(500).select("event_id", "error_code")
+    # on most days a device has events with a code and events without one
+    order = Window.partitionBy("device_id", "day").orderBy(F.asc_nulls_last("error_code"), "event_id")
+    return device_events(s, d).select("event_id", "error_code", F.row_number().over(order).alias("place"))
 
 
 @query("preview_rows", sql("SELECT event_id, event_ts, device_id, status FROM ev ORDER BY event_ts, event_id LIMIT 20"))
@@ -381,6 +383,18 @@ def _(s, d):
     return compare.differences(lines.select(keys), lines.where("l_returnflag <> 'R'").select(keys))
 
 
+@query("differing_rows_by_hash_tree", """
+    WITH a AS (SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem)
+    SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS l_shipdate,
+           CAST(CASE WHEN l_orderkey % 1000 = 7 THEN 1 ELSE -1 END AS BIGINT) AS surplus
+    FROM a WHERE l_orderkey % 1000 IN (7, 8)""")
+def _(s, d):
+    # the second table lacks some orders and has others twice
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("l_shipdate"))
+    other = lines.where("l_orderkey % 1000 <> 7").unionByName(lines.where("l_orderkey % 1000 = 8"))
+    return compare.tree_differences(lines, other, "l_shipdate")
+
+
 # ---- scalar functions -------------------------------------------------------------------------
 
 @query("json_field_text", """SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")

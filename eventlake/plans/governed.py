@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from eventlake.fixed_values import MAX_PAIRS, MAX_RESULT_KB, MAX_ROWS, MAX_WINDOW_DAYS, SCAN_BUDGET_MB
 from eventlake.functions import json_text
 from eventlake.operators.scan_estimate import estimate_scan
+from eventlake.operators.zone_map import ZoneMap
 from eventlake.session import compute_once
 
 EVENTS = "events"
@@ -159,12 +160,12 @@ def _check_window(source: Source, max_window_days: int) -> None:
 class GovernedReader:
     """Runs requests against approved tables.
 
-    `stats` are the row-group statistics of the events layout, best read from a saved table.
+    `stats` are the row-group statistics of the events layout: a zone map, of which an estimate opens the asked days only, or a table.
     Only the events are priced: the other tables are small. Nothing is cut off unasked: a result of more than max_rows
     rows, without a smaller limit in the request, is refused, and so is a join without aggregates that forms more
     than max_pairs pairs."""
 
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], stats: DataFrame,
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], stats: DataFrame | ZoneMap,
                  budget_mb: float = SCAN_BUDGET_MB, max_result_kb: float = MAX_RESULT_KB,
                  max_rows: int = MAX_ROWS, max_window_days: int = MAX_WINDOW_DAYS, max_pairs: int = MAX_PAIRS):
         self.spark = spark
@@ -247,7 +248,8 @@ class GovernedReader:
                 wanted = {"day": (source.first, source.last)}
                 wanted |= {f.column: (f.value, f.value) for f in source.filters
                            if f.op == "=" and isinstance(f.column, str) and f.column != "day"}
-                estimate = estimate_scan(self.stats, sorted(_mentioned(request)), wanted)
+                columns = sorted(_mentioned(request))
+                estimate = self.stats.estimate(columns, wanted) if isinstance(self.stats, ZoneMap) else estimate_scan(self.stats, columns, wanted)
                 mb += estimate.first()["bytes"] / 1e6
         return mb
 

@@ -122,6 +122,28 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def block_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of values[s:e] for each range; depends on content and length alone. values: uint64, already spread.
+
+    Two overlapping blocks of a power of two of values cover a range; blocks are named from their halves, level by level, and spread at
+    each. Unlike a polynomial modulo 2^64 (range_hashes), no content is known by which it could be led astray: that one
+    takes a Thue-Morse string and its complement for the same."""
+    length = ends - starts
+    out = np.full(len(starts), mix64(np.array([seed], np.uint64))[0], np.uint64)
+    level = np.frexp(np.maximum(length, 1).astype(np.float64))[1] - 1
+    level[length <= 0] = -1
+    salt = np.uint64(seed * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+    held, size = mix64(values + salt), 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        here = np.flatnonzero(level == k)
+        one, two = held[starts[here]], held[ends[here] - size]
+        out[here] = mix64(mix64(one + length[here].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + two * np.uint64(0xC2B2AE3D27D4EB4F))
+        if k < level.max():
+            held = mix64(held[:-size] * np.uint64(0x9FB21C651E98DF25) + mix64(held[size:] ^ salt))
+            size *= 2
+    return out
+
+
 #: Random 64-bit values of the 256 bytes, the same everywhere.
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

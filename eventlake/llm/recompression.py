@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlake.llm import anchored
-from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, slices, stored, word_spans
+from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, block_hashes, slices, stored, word_spans
 
 WINDOW = 13
 PAIR_ROUNDS = 3
@@ -122,7 +122,7 @@ def parts(flat: np.ndarray, at: np.ndarray, window: int = WINDOW) -> Iterator[tu
         row = np.repeat(np.arange(i, j), np.diff(before))
         place = np.arange(len(starts)) - np.repeat(before[:-1], np.diff(before))
         if j > i + 1 or len(piece) <= PART:
-            yield range_hashes(BYTE_VALUES[piece], starts, ends, 1), row, place, place == 0
+            yield block_hashes(BYTE_VALUES[piece], starts, ends, 1), row, place, place == 0
         else:
             k = 0
             while k < len(starts):
@@ -131,7 +131,7 @@ def parts(flat: np.ndarray, at: np.ndarray, window: int = WINDOW) -> Iterator[tu
                 lo = starts[k]
                 head = np.zeros(m - k, bool)
                 head[0] = True
-                yield range_hashes(BYTE_VALUES[piece[lo: ends[m - 1]]], starts[k:m] - lo, ends[k:m] - lo, 1), row[k:m], place[k:m], head
+                yield block_hashes(BYTE_VALUES[piece[lo: ends[m - 1]]], starts[k:m] - lo, ends[k:m] - lo, 1), row[k:m], place[k:m], head
                 k = m if m == len(starts) else m - window + 1
         i = j
 
@@ -149,9 +149,9 @@ def _fragments(window: int):
             new = np.concatenate(([True], (i[1:] != i[:-1] + 1) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (level[1:] != level[:-1]) | first[i[1:]]))
             head = np.flatnonzero(new)
             a, n = i[head], np.diff(np.concatenate((head, [len(i)])))
-            key = range_hashes(words, lo[head], hi[head], 3) ^ mix64((level[head] + 1).astype(np.uint64))
+            key = block_hashes(words, lo[head], hi[head], 3) ^ mix64((level[head] + 1).astype(np.uint64))
             begin, n, index = anchored.cut_long(a, n)
-            frag = range_hashes(words, begin, begin + n - 1 + window, 4)
+            frag = block_hashes(words, begin, begin + n - 1 + window, 4)
             yield key[index].view(np.int64), frag.view(np.int64), ids[row[begin]], subs[row[begin]], anchored.pack(place[begin], tags[row[begin]], n)
     return of
 
@@ -170,7 +170,7 @@ def _single_windows(window: int):
                 i = np.unique(np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) - place[h] + h
                 i = i[(i >= h) & (i + window <= e)]
                 if len(i):
-                    yield (range_hashes(words[h:e], i - h, i - h + window, 5).view(np.int64), range_hashes(words[h:e], i - h, i - h + window, 6).view(np.int64),
+                    yield (block_hashes(words[h:e], i - h, i - h + window, 5).view(np.int64), block_hashes(words[h:e], i - h, i - h + window, 6).view(np.int64),
                            np.full(len(i), ids[r]), np.full(len(i), subs[r]), anchored.pack(place[i], np.full(len(i), tags[r]), np.ones(len(i), np.int64)))
     return of
 

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from eventlake.llm import bpe, exact_dedup, mixing, quality, recompression, simhash, suffix_dedup, surrogates
-from eventlake.llm.common import LOWER, UPPER, read
+from eventlake.llm.common import LOWER, UPPER, block_hashes, read
 from eventlake.llm.queries import QUERIES
 
 TO_LOWER = str.maketrans(UPPER, LOWER)
@@ -377,6 +377,34 @@ def test_repeated_words_of_many_texts_under_one_id(spark):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(rows, 13)
 
 
+def test_words_that_a_polynomial_cannot_tell_apart(spark):
+    """Thue-Morse strings and their complements collide under every polynomial modulo 2^64: letters of a word, and words of a text."""
+    turn = [bin(i).count("1") % 2 for i in range(4096)]
+    same = " ".join(f"w{i}" for i in range(12))
+    letters = ["".join("ab"[x ^ y] for x in turn[:1024]) for y in (0, 1)]
+    texts = [f"{same} {letters[0]}", f"{same} {letters[1]}", f"{same} {letters[0]} tail", " ".join("ab"[x] for x in turn), " ".join("ba"[x] for x in turn)]
+    got = sorted(recompression.remove_repeated_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    seen, want = set(), []
+    for text in texts:
+        w = text.split()
+        windows = [tuple(w[i: i + 13]) for i in range(len(w) - 12)]
+        gone = {j for i, x in enumerate(windows) if x in seen for j in range(i, i + 13)}
+        want.append(len(gone))
+        seen |= set(windows)
+    assert [r.n_removed for r in got] == want and want[:3] == [0, 0, 13]
+
+
+def test_range_names_tell_contents_apart():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 3, 4000).astype(np.uint64)
+    starts = rng.integers(0, 3900, 20_000)
+    ends = np.minimum(4000, starts + rng.integers(0, 40, 20_000))
+    names = block_hashes(values, starts, ends, 5)
+    content = [values[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    assert len(set(names.tolist())) == len(set(content)) == len(set(zip(names.tolist(), content, strict=True)))
+    assert len(block_hashes(values, starts[:0], ends[:0], 5)) == 0
+
+
 def test_repeated_words_in_parts(spark, edge_docs):
     """Texts that go in parts give the same anchors."""
     text = (" ".join(f"w{i % 977} x{i % 13}" for i in range(3000))).encode()

@@ -4,7 +4,7 @@ A rotation of the principal components is learned such that the signs of the rot
 (a balanced binary code). The code is cut into segments, one table each. Every vector is filed in each table under all
 values of the Hamming ball of radius one around its segment, so two vectors meet if a segment differs in
 two bits at most. Segments grow with the logarithm of the number of vectors, which keeps tables sparse, and tables are added
-until a pair at the threshold is met with the wanted chance. Those that meet and are near by their whole codes
+until pairs made at the threshold are met with the wanted chance. Those that meet and are near by their whole codes
 are compared by their vectors in double precision. A pair that meets in several places is counted in one of them.
 Equal vectors are one node. A crowded place is cut into cells of a block against a block, and a
 cell gives sums and the components it finds, not its pairs."""
@@ -30,6 +30,9 @@ RECALL = 0.97
 SAMPLE = 4096
 CELL = 2048
 RADIUS = 1
+#: Tables that segments are shortened for, and tables at most (they are numbered by eight bits); made pairs at least.
+TABLES, MOST_TABLES = 64, 255
+PAIRS = 2000
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,8 @@ class Index:
     segment_bits: int
     tables: int
     max_bits: int
+    #: share of made pairs at the threshold that meet
+    recall: float = 1.0
 
     def segments(self, unit: np.ndarray) -> np.ndarray:
         """Unit vectors -> their code's segments, one column per table."""
@@ -61,16 +66,26 @@ def itq(vectors: np.ndarray, bits: int, rng: np.random.Generator, rounds: int =
     return axes.T @ turn[: len(axes)]
 
 
-def plan(rows: int, threshold: float, recall: float) -> tuple[int, int, int]:
-    """(segment bits, tables, most differing bits of a code) for so many vectors.
+def plan(rows: int, differs: float, recall: float) -> tuple[int, int]:
+    """(segment bits, tables) for so many vectors, where a bit of two vectors at the threshold differs with a chance of `differs`.
 
-    A bit of two vectors at the threshold differs with the chance of their angle over pi."""
-    p = math.acos(threshold) / math.pi
+    Segments have as many bits as keep places of the table short; where that would take more than TABLES tables, fewer."""
     bits = min(32, max(16, math.ceil(math.log2(max(2, rows)))))
-    meet = sum(math.comb(bits, d) * p ** d * (1 - p) ** (bits - d) for d in range(2 * RADIUS + 1))
-    tables = max(4, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
-    whole = bits * tables
-    return bits, tables, math.ceil(whole * p + 3 * math.sqrt(whole * p * (1 - p)))
+    while True:
+        meet = sum(math.comb(bits, d) * differs ** d * (1 - differs) ** (bits - d) for d in range(2 * RADIUS + 1))
+        tables = max(4, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 4
+        if tables <= TABLES or bits <= 8:
+            return bits, min(tables, MOST_TABLES)
+        bits -= 1
+
+
+def made_partners(unit: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """For each unit vector another one at exactly the threshold, in a random direction."""
+    other = rng.normal(size=unit.shape)
+    other -= (other * unit).sum(axis=1)[:, None] * unit
+    length = np.linalg.norm(other, axis=1)[:, None]
+    pair = threshold * unit + math.sqrt(max(0.0, 1 - threshold ** 2)) * np.where(length > 1e-12, other / np.maximum(length, 1e-12), 0)
+    return pair / np.linalg.norm(pair, axis=1)[:, None]
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -79,13 +94,40 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, rows: int, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> Index:
-    """sample: unit vectors. Codes longer than the vectors take further rotations."""
-    bits, tables, most = plan(rows, threshold, recall)
+    """sample: unit vectors. Codes longer than the vectors take further rotations.
+
+    How often bits of near vectors differ is measured, on pairs made at the threshold of the half of the sample that the rotation is not fitted on: codes are signs of vectors less
+    their mean, and what vectors have in common widens the angle that is left. Tables are added until the pairs meet as often
+    as wanted; the most differing bits of a code are four deviations above what the pairs have."""
     rng = np.random.default_rng(seed)
-    mean = sample.mean(axis=0)
-    each = max(1, min(bits * tables, sample.shape[1]))
-    parts = [itq(sample - mean, each, rng) for _ in range(-(-bits * tables // each))]
-    return Index(mean, np.concatenate(parts, axis=1)[:, : bits * tables], bits, tables, most)
+    learned, base = (sample[::2], sample[1::2]) if len(sample) > 1 else (sample, sample)
+    mean = learned.mean(axis=0)
+    base = base[np.arange(max(PAIRS, len(base))) % len(base)]
+    pairs = base, made_partners(base, threshold, rng)
+    width = sample.shape[1]
+    rotations: list[np.ndarray] = []
+
+    def differing(first: int, last: int) -> np.ndarray:
+        """Which bits first to last of the pairs' codes differ."""
+        while len(rotations) * width < last:
+            rotations.append(itq(learned - mean, width, rng))
+        turn = np.concatenate(rotations[first // width: -(-last // width)], axis=1)[:, first - first // width * width:][:, : last - first]
+        return ((pairs[0] - mean) @ turn > 0) != ((pairs[1] - mean) @ turn > 0)
+
+    bits, tables = plan(rows, float(differing(0, max(width, 32)).mean()), recall)
+    met, apart, done = np.zeros(len(base), bool), np.zeros(len(base), np.int64), 0
+    while True:
+        for t in range(done, tables):
+            d = differing(t * bits, (t + 1) * bits).sum(axis=1)
+            met |= d <= 2 * RADIUS
+            apart += d
+        done = tables
+        if met.mean() >= recall or tables >= MOST_TABLES:
+            break
+        tables = min(MOST_TABLES, tables + max(1, tables // 8))
+    most = math.ceil(apart.mean() + 4 * apart.std())
+    found = float((met & (apart <= most)).mean())
+    return Index(mean, np.concatenate(rotations, axis=1)[:, : bits * tables], bits, tables, most, found)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:

@@ -15,14 +15,16 @@ from eventlake.sources.views import SMALL_TABLES, read_small_table
 
 
 def publish_days(spark: SparkSession, root: str, target: str, days: list[date]) -> DataFrame:
-    """Copy cleaned days to a serving copy, replacing exactly these days there.
+    """Copy cleaned days to a serving copy, replacing exactly these days there, all of them or none.
 
     Returns the rows per day of the copy."""
     present = set(hf.present_days(spark, f"{root}/sorted"))
     if absent := sorted(set(days) - present):
         raise FileNotFoundError(f"not cleaned yet: {', '.join(map(str, absent))}")
     part = read_layout(spark, root, "sorted").where(F.col("day").isin(days))
-    write_sorted(part, f"{target}/sorted", replace_days=True)
+    staged = f"{target}/_incoming/sorted-{uuid.uuid4().hex[:12]}"
+    write_sorted(part, staged)
+    hf.replace_days(spark, staged, f"{target}/sorted", sorted(set(days)))
     copied = read_layout(spark, target, "sorted").where(F.col("day").isin(days))
     return copied.groupBy("day").agg(F.count("*").alias("rows"))
 

@@ -44,6 +44,24 @@ def arrow_location(path: str):
     return pafs.FileSystem.from_uri(arrow_uri(path))
 
 
+def sniff_files(spark: SparkSession, paths: list[str], tasks: int = 64) -> DataFrame:
+    """path, length and the first two bytes of files that tasks can read; looked at by a bounded number of tasks, not by the driver."""
+
+    def look(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                fs, inner = arrow_location(path)
+                with fs.open_input_file(inner) as file:
+                    rows.append({"path": path, "length": file.size(), "first": file.read_at(2, 0)})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("length", pa.int64()), ("first", pa.binary())]))
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), tasks)))
+    return listed.mapInArrow(look, "path string, length long, first binary")
+
+
 def with_row_position(df: DataFrame) -> DataFrame:
     """Add the file a row was read from and its position in that file."""
     return df.withColumns({

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -48,11 +50,6 @@ def first_bytes(spark: SparkSession, path: str, count: int = 2) -> bytes:
     return bytes(b for b in got if b >= 0)
 
 
-def size_of(spark: SparkSession, path: str) -> int:
-    p, fs = _path(spark, path)
-    return fs.getFileStatus(p).getLen()
-
-
 def visible_files(spark: SparkSession, path: str) -> dict[str, int]:
     """A file itself, or the data files directly in a folder, with their sizes, from one listing."""
     p, fs = _path(spark, path)
@@ -69,17 +66,61 @@ def swap_in(spark: SparkSession, staged: str, final: str) -> None:
     publish(spark, {"only": (staged, final)}, f"{staged.rstrip('/')}.journal")
 
 
+class Held(RuntimeError):
+    """Another run is publishing to the same place."""
+
+
+#: A journal whose run has not been heard of for so long belongs to a run that was cut off; a run says so every minute.
+LEASE_SECONDS = 900
+_BEAT_SECONDS = 60
+
+
+def _holder(spark: SparkSession, journal: str) -> tuple[str, float] | None:
+    """Run that holds a journal, and when it was last heard of; none for a journal without an owner."""
+    p, fs = _path(spark, f"{journal}/owner")
+    try:
+        stream = fs.open(p)
+    except Exception:
+        return None
+    try:
+        text = bytes(b for b in (stream.read() for _ in range(200)) if b >= 0).decode()
+    finally:
+        stream.close()
+    run, _, heard = text.partition(" ")
+    return (run, float(heard)) if heard else None
+
+
+def _say(spark: SparkSession, journal: str, run: str, first: bool) -> None:
+    """Note that a run holds the journal. The first note fails if another run's is there: file systems make new files one at a time."""
+    p, fs = _path(spark, f"{journal}/owner")
+    try:
+        out = fs.create(p, not first)
+    except Exception as why:
+        raise Held(f"{journal} was taken by another run just now") from why
+    out.write(bytearray(f"{run} {time.time()}".encode()))
+    out.close()
+
+
 def publish(spark: SparkSession, moves: dict[str, tuple[str | None, str]], journal: str) -> None:
     """Put finished folders in place of others, all of them or none.
 
     moves: name -> (staged folder, or None if nothing takes its place; final folder). What stands is first set aside in the
     journal folder, which has to be outside of anything that is dropped before the next run. If a run is cut off, recover()
-    puts everything back."""
+    puts everything back. While one run publishes, others with the same journal are refused (Held) and change nothing."""
+    run = uuid.uuid4().hex
+
     def place(name: str) -> str:
         return moves[name][1]
 
     recover(spark, place, journal)
     fs = _path(spark, journal)[1]
+    heard = time.monotonic()
+
+    def beat() -> None:
+        nonlocal heard
+        if time.monotonic() - heard > _BEAT_SECONDS:
+            _say(spark, journal, run, first=False)
+            heard = time.monotonic()
 
     def path(text):
         return _path(spark, text)[0]
@@ -90,29 +131,35 @@ def publish(spark: SparkSession, moves: dict[str, tuple[str | None, str]], journ
             raise OSError(f"could not move {src} to {dst}")
 
     fs.mkdirs(path(journal))
+    _say(spark, journal, run, first=True)
     try:
         for name, (_, final) in moves.items():
+            beat()
             if fs.exists(path(final)):
                 rename(final, f"{journal}/old/{name}")
             else:
                 fs.mkdirs(path(f"{journal}/absent/{name}"))
         fs.mkdirs(path(f"{journal}/all_aside"))
         for staged, final in moves.values():
+            beat()
             if staged is not None:
                 rename(staged, final)
         fs.mkdirs(path(f"{journal}/done"))
     except Exception:
-        recover(spark, place, journal)
+        recover(spark, place, journal, run)
         raise
     drop(spark, journal)
 
 
-def recover(spark: SparkSession, place: Callable[[str], str], journal: str) -> None:
+def recover(spark: SparkSession, place: Callable[[str], str], journal: str, run: str | None = None) -> None:
     """Undo a publish() that was cut off; one that was through is only tidied up. Without a journal there is nothing to do.
 
-    place gives the final folder of a name."""
+    place gives the final folder of a name. A journal that another run than `run` holds is left alone: Held."""
     if not exists(spark, journal):
         return
+    holder = _holder(spark, journal)
+    if holder and holder[0] != run and time.time() - holder[1] < LEASE_SECONDS and not exists(spark, f"{journal}/done"):
+        raise Held(f"run {holder[0]} is publishing with {journal}; if it was cut off, this works again {LEASE_SECONDS} seconds after it was last heard of")
     if not exists(spark, f"{journal}/done"):
         for name in child_names(spark, f"{journal}/old"):
             drop(spark, place(name))

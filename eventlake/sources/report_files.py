@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from eventlake.schemas import ReportSpec
 from eventlake.session import new_scratch
 from eventlake.sources import hadoop_files as hf
-from eventlake.sources.files import arrow_location, can_read
+from eventlake.sources.files import arrow_location, can_read, sniff_files
 from eventlake.sources.quoted_csv import RANGE_BYTES, read_quoted
 
 _GZIP_MAGIC = b"\x1f\x8b"
@@ -46,7 +46,9 @@ def checked_files(spark: SparkSession, path: str) -> list[str]:
         raise BadBatch(f"there is no file at {path}")
     if empty := [f for f, size in files.items() if size == 0]:
         raise BadBatch(f"{empty[0]} is empty")
-    zipped = {f: hf.first_bytes(spark, f) == _GZIP_MAGIC for f in files}
+    near = [f for f in files if can_read(f)]
+    zipped = {r.path: bytes(r.first) == _GZIP_MAGIC for r in sniff_files(spark, near).collect()} if near else {}
+    zipped |= {f: hf.first_bytes(spark, f) == _GZIP_MAGIC for f in files if f not in zipped}
     misnamed = [f for f in files if zipped[f] != f.endswith(".gz")]
     if not misnamed:
         return list(files)
@@ -96,7 +98,8 @@ def read_report_files(spark: SparkSession, files: list[str], spec: ReportSpec, r
     columns = header_of(spark, files[0])
     check_header(columns, spec)
     schema = ", ".join(f"`{c}` {spec.file_columns.get(c, 'string')}" for c in columns)
-    plain = {f: hf.size_of(spark, f) for f in files if not f.endswith(".gz") and can_read(f)}
+    near = [f for f in files if not f.endswith(".gz") and can_read(f)]
+    plain = {r.path: r.length for r in sniff_files(spark, near).collect()} if near else {}
     options = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in _READ.items() if k != "header"}
     cut, odd = read_quoted(spark, plain, columns, schema, options, range_bytes)
     rest = [f for f in files if f not in plain or f in odd]

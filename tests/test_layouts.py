@@ -157,6 +157,46 @@ def test_publish_is_all_or_nothing(spark, tmp_path, monkeypatch, stop):
     assert not hf.exists(spark, f"{root}/c") and not hf.exists(spark, journal)
 
 
+def test_two_publishes_do_not_undo_each_other(spark, tmp_path, monkeypatch):
+    """A second run that comes while the first one moves is refused and changes nothing; after the first one it goes through."""
+    root = str(tmp_path)
+    for n, v in (("final/day=2024-01-01", "old"), ("a/day=2024-01-01", "new"), ("b/day=2024-01-02", "other")):
+        spark.range(1).select(F.lit(v).alias("v")).write.parquet(f"{root}/{n}")
+    refused = []
+
+    def second():
+        with pytest.raises(hf.Held, match="is publishing"):
+            hf.replace_days(spark, f"{root}/b", f"{root}/final", [DAYS[1]])
+        refused.append(hf.exists(spark, f"{root}/b/day=2024-01-02"))
+
+    exists = hf.exists
+    monkeypatch.setattr(hf, "_say", lambda *a, say=hf._say, **kw: (say(*a, **kw), second())[0] if not refused else say(*a, **kw))
+    hf.replace_days(spark, f"{root}/a", f"{root}/final", [DAYS[0]])
+    monkeypatch.undo()
+    assert refused == [True] and hf.present_days(spark, f"{root}/final") == [DAYS[0]]
+    assert spark.read.parquet(f"{root}/final/day=2024-01-01").first()["v"] == "new"
+    hf.replace_days(spark, f"{root}/b", f"{root}/final", [DAYS[1]])
+    assert hf.present_days(spark, f"{root}/final") == DAYS[:2] and not exists(spark, f"{root}/final_journal")
+
+
+def test_a_run_that_died_is_undone_after_its_lease(spark, tmp_path, monkeypatch):
+    import os
+    root, journal = str(tmp_path), str(tmp_path / "final_journal")
+    spark.range(1).select(F.lit("new").alias("v")).write.parquet(f"{root}/b/day=2024-01-01")
+    os.makedirs(f"{journal}/old/day=2024-01-01")
+    (tmp_path / "final_journal" / "old" / "day=2024-01-01" / "x").write_text("old")
+    hf._say(spark, journal, "dead", first=True)
+    with pytest.raises(hf.Held):
+        hf._say(spark, journal, "late", first=True)
+    with pytest.raises(hf.Held):
+        hf.replace_days(spark, f"{root}/b", f"{root}/final", [DAYS[0]])
+    monkeypatch.setattr(hf, "LEASE_SECONDS", 0)
+    hf.recover(spark, lambda n: f"{root}/final/{n}", journal)
+    assert os.listdir(f"{root}/final/day=2024-01-01") == ["x"] or sorted(os.listdir(f"{root}/final/day=2024-01-01"))[-1] == "x"
+    hf.replace_days(spark, f"{root}/b", f"{root}/final", [DAYS[0]])
+    assert spark.read.parquet(f"{root}/final/day=2024-01-01").first()["v"] == "new"
+
+
 def test_replacing_one_day_leaves_the_others(spark, events, tmp_path):
     path = str(tmp_path / "by_day")
     lay.write_by_day(events, path)

@@ -47,8 +47,7 @@ MAGIC = b"TOKIDS1\n"
 HEAD = struct.Struct("<8sI32s")
 TAIL = struct.Struct("<QIQ8s")
 LEVEL = 3
-#: The dictionary is trained on this many documents at most, the ones whose hash is smallest among texts of up to so many bytes (it is there for short
-#: ones), and is of this size at most.
+#: The dictionary is trained on about this many documents, without those of more bytes than this (it is there for short ones), and is of this size at most.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8192, 64 * 1024
 #: Ids that reach Spark in one batch of the reader, at most, but for a longer document.
 BATCH_IDS = 1 << 20
@@ -216,14 +215,16 @@ def train_dictionary(encoded: DataFrame, width: int, size: int = DICTIONARY_BYTE
             made = b""
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["dictionary"])
 
-    rows = encoded.select("doc_id", "ids").coalesce(1).mapInArrow(task, "dictionary binary").collect()
+    rows = encoded.select("doc_id", "ids").repartition(1).mapInArrow(task, "dictionary binary").collect()
     return bytes(rows[0].dictionary) if rows else b""
 
 
 def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Short documents by the order of their hashes: the same ones in every run."""
-    short = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    return short.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample)
+    """About `sample` documents by a hash of the row, all of them if there are no more, and of these the short ones. A row is taken by itself, so no task
+    has to rank rows, and copies do not come together."""
+    rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    total = docs.count()
+    return rows.where((F.pmod(F.xxhash64("_row", "text"), F.lit(1 << 40)) < int(min(1.0, sample / max(1, total)) * (1 << 40))) & F.octet_length("text").between(1, SAMPLE_BYTES)).drop("_row")
 
 
 # ---- the files ---------------------------------------------------------------------------------

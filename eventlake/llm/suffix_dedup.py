@@ -22,8 +22,8 @@ from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, range_hashes, sl
 WINDOW = 200
 #: Bytes of an anchor, and of the second one.
 ANCHOR, SECOND = 40, 100
-#: Bytes of text worked on at once; longer texts go in parts that overlap by a window.
-PART = 1 << 21
+#: Bytes of text worked on at once, few enough for a core's cache; longer texts go in parts that overlap by a window.
+PART = 1 << 18
 #: Bytes of strings whose transforms are merged at once, about.
 MERGE = 1 << 21
 #: Strings of one anchor, at most; more are compared window by window, by Spark.

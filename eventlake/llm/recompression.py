@@ -24,7 +24,7 @@ from eventlake.llm.common import BYTE_VALUES, byte_view, mix64, block_hashes, sl
 WINDOW = 13
 PAIR_ROUNDS = 3
 #: Bytes of text worked on at once. Longer texts go in parts that overlap by a window.
-PART = 1 << 22
+PART = 1 << 18
 
 
 @dataclass

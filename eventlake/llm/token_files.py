@@ -52,7 +52,7 @@ SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8192, 64 * 1024
 #: Ids that reach Spark in one batch of the reader, at most, but for a longer document.
 BATCH_IDS = 1 << 20
 #: Bytes of text encoded at once, and words that a task keeps the ids of.
-BYTES_AT_ONCE, KEPT_WORDS = 1 << 20, 700_000
+BYTES_AT_ONCE, KEPT_WORDS = 1 << 20, 500_000
 
 
 # ---- encoding ----------------------------------------------------------------------------------
@@ -330,26 +330,37 @@ class Written(WriterCommitMessage):
 
 
 class TokenIdWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, width: int):
-        self.folder, self.width = folder, width
+    """Writes doc_id, ids; or, with a vocabulary, doc_id, text, whose ids it makes itself: one Python process per task instead of two."""
+
+    def __init__(self, folder: str, width: int, vocabulary: str | None = None, end_id: int = END_ID):
+        self.folder, self.width, self.vocabulary, self.end_id = folder, width, vocabulary, end_id
+
+    def _documents(self, iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+        if self.vocabulary is None:
+            for b in iterator:
+                for doc_id, code in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                    yield doc_id, np.frombuffer(code or b"", "<u4")
+            return
+        encoder = _encoder(self.vocabulary, self.end_id)
+        for b in pieces((b.select(["doc_id", "text"]) for b in iterator), 1, BYTES_AT_ONCE):
+            ids, at = encoder.encode([t or b"" for t in b.column(1).cast(pa.large_binary()).to_pylist()])
+            for doc_id, first, last in zip(b.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield doc_id, ids[first:last]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         part = TaskContext.get().partitionId()
         name = f"shard-{part:05d}-{uuid.uuid4().hex[:12]}.ids"
         out, shard, total, known = None, None, 0, []
         try:
-            for b in iterator:
-                ids = b.column("ids")
-                for doc_id, code in zip(b.column("doc_id").to_pylist(), ids.to_pylist(), strict=True):
-                    if shard is None:
-                        fs, path = arrow_location(_join(self.folder, name))
-                        out = fs.open_output_stream(path, compression=None)
-                        shard = Shard(out, _read(self.folder, "ids.dictionary"), self.width)
-                    values = np.frombuffer(code or b"", "<u4")
-                    shard.add(doc_id, values)
-                    total += len(values)
-                    if doc_id is not None:
-                        known = [min(known[0], doc_id), max(known[1], doc_id)] if known else [doc_id, doc_id]
+            for doc_id, values in self._documents(iterator):
+                if shard is None:
+                    fs, path = arrow_location(_join(self.folder, name))
+                    out = fs.open_output_stream(path, compression=None)
+                    shard = Shard(out, _read(self.folder, "ids.dictionary"), self.width)
+                shard.add(doc_id, values)
+                total += len(values)
+                if doc_id is not None:
+                    known = [min(known[0], doc_id), max(known[1], doc_id)] if known else [doc_id, doc_id]
             if shard is None:
                 return Written(part, "", 0, 0, None, None)
             shard.close()
@@ -395,7 +406,7 @@ class TokenIdReader(DataSourceReader):
 
 
 class TokenIds(DataSource):
-    """Options: path; id_bytes (writing: 2 or 4); doc_ids (reading: whole numbers with commas between, only these documents)."""
+    """Options: path; id_bytes (writing: 2 or 4), vocabulary and end_id (writing texts: their tokenizer's file); doc_ids (reading: whole numbers with commas between, only these documents)."""
 
     @classmethod
     def name(cls) -> str:
@@ -409,7 +420,7 @@ class TokenIds(DataSource):
         return TokenIdReader(self.options["path"], None if wanted is None else [int(x) for x in wanted.split(",") if x.strip()])
 
     def writer(self, schema, overwrite: bool) -> TokenIdWriter:
-        return TokenIdWriter(self.options["path"], int(self.options.get("id_bytes", 4)))
+        return TokenIdWriter(self.options["path"], int(self.options.get("id_bytes", 4)), self.options.get("vocabulary"), int(self.options.get("end_id", END_ID)))
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
@@ -424,9 +435,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     _write(folder, "ids.dictionary", train_dictionary(encode_documents(training_sample(docs), vocabulary, end_id), width))
     keys = ["doc_id", "_hash", "_row"]
     ordered = (docs.select("doc_id", "text").withColumns({"_hash": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
-               .repartitionByRange(*keys).sortWithinPartitions(*keys))
+               .repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text"))
     spark.dataSource.register(TokenIds)
-    encode_documents(ordered, vocabulary, end_id).write.format("token_ids").option("id_bytes", width).mode("append").save(folder)
+    ordered.write.format("token_ids").options(id_bytes=width, vocabulary=vocabulary, end_id=end_id).mode("append").save(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlake.catalog.base import BAD_DAY, RAW_COLUMNS, WEEK, between, built, query, sql
-from eventlake.plans.daily_ingest import ingest_days
-from eventlake.schemas import DAY_AUDIT
+from eventlake.plans.daily_ingest import compact_days, ingest_days
+from eventlake.schemas import ARRIVAL_AUDIT, DAY_AUDIT
 from eventlake.session import new_scratch
 from eventlake.sources import hadoop_files as hf
-from eventlake.sources.events import read_layout
+from eventlake.sources.events import CSV_WRITE, device_events, read_layout
 from eventlake.sources.runs import read_runs
-from eventlake.streaming.arrivals import ingest_arrivals
+from eventlake.streaming.arrivals import ingest_arrivals, ingest_arrivals_as_deltas
 
 
 def _landed(s, d):
@@ -52,3 +52,40 @@ def _(s, d):
     ingest_arrivals(s, _landed(s, d)[0], root, f"{root}/_progress")
     return read_layout(s, root, "sorted").groupBy("day").agg(
         F.count("*").alias("rows"), F.count("conn").alias("with_conn"))
+
+
+def _arrived_in_three_runs(s, d):
+    """Two thirds of the events, then the others with some that were there before, then nothing new."""
+    root = new_scratch(s, "deltas")
+    events = device_events(s, d)
+    late = F.col("event_id") % 3 == 0
+    for rows in (events.where(~late), events.where(late | (F.col("event_id") % 10 == 0)), None):
+        if rows is not None:
+            (rows.hint("rebalance", "day").write.mode("append").options(**CSV_WRITE).option("compression", "gzip")
+             .partitionBy("day").csv(f"{root}/landing"))
+        ingest_arrivals_as_deltas(s, f"{root}/landing", root, f"{root}/_progress")
+    return root
+
+
+@query("arrivals_as_deltas", sql(f"SELECT {RAW_COLUMNS}, conn, day FROM ev"))
+def _(s, d):
+    return read_layout(s, _arrived_in_three_runs(s, d), "sorted")
+
+
+@query("arrivals_as_deltas_compacted", sql(f"SELECT {RAW_COLUMNS}, conn, day FROM ev"))
+def _(s, d):
+    root = _arrived_in_three_runs(s, d)
+    compact_days(s, root, hf.present_days(s, f"{root}/sorted"))
+    return read_layout(s, root, "sorted")
+
+
+@query("arrival_audit", sql(
+    """SELECT day, count(*) + count(*) FILTER (WHERE event_id % 10 = 0 AND event_id % 3 <> 0) AS rows_in,
+              count(*) AS added, count(*) FILTER (WHERE event_id % 10 = 0 AND event_id % 3 <> 0) AS known,
+              false AS cleaned_whole
+       FROM ev GROUP BY 1"""))
+def _(s, d):
+    runs = read_runs(s, f"{_arrived_in_three_runs(s, d)}/arrival_runs", ARRIVAL_AUDIT)
+    return runs.groupBy("day").agg(
+        F.sum("rows_in").alias("rows_in"), F.sum("added").alias("added"), F.sum("known").alias("known"),
+        F.bool_or("cleaned_whole").alias("cleaned_whole"))

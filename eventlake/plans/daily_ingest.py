@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Mapping
 from datetime import date
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from eventlake.operators.dedupe import one_per_key
 from eventlake.plans.layouts import with_conn, write_rollups, write_sorted
-from eventlake.schemas import DAY_AUDIT, EVENT_CLEAN
+from eventlake.schemas import ARRIVAL_AUDIT, DAY_AUDIT, EVENT, EVENT_CLEAN
 from eventlake.session import new_scratch
 from eventlake.sources import hadoop_files as hf
 from eventlake.sources.events import count_landing, read_landing, read_layout
@@ -80,6 +81,81 @@ def ingest_days(spark: SparkSession, landing: str, root: str, days: list[date],
     return spark.createDataFrame(audit, DAY_AUDIT)
 
 
+_KEYS = ["day", "event_id"]
+_REST = [c for c in EVENT.fieldNames() if c not in _KEYS]
+
+
+def add_arrivals(spark: SparkSession, arrived: DataFrame, landing: str, root: str,
+                 refresh_rollups: bool = False) -> DataFrame:
+    """Add newly arrived events to their days, at the cost of what is new and not of what the days hold.
+
+    Of the days touched only the ids are read: new ids go into files of their own beside those that stand, known ids
+    are left out. The table holds the rows that cleaning the days whole would give. A re-sent event that differs from
+    the stored one and comes before it in the order of one_per_key() has to take its place; a day where that
+    happens is cleaned whole from `landing`. Adding the same events again changes nothing, so a run may be repeated.
+    Ids must be there, and the stored days must hold each id once, else BadDay and nothing is published.
+    `arrived` is read more than once and should be stored. With refresh_rollups the roll-up rows of days that changed are
+    built again too. Returns (and logs under <root>/arrival_runs) one audit row per day with arrivals."""
+    run = uuid.uuid4().hex[:12]
+    staged, marks = f"{root}/_incoming/arrivals-{run}", f"{root}/_incoming/marks-{run}"
+    came = {r["day"]: r for r in arrived.groupBy("day").agg(
+        F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"),
+        F.count_if(F.col("event_id").isNull()).alias("without_id")).collect()}
+    days = sorted(d for d in came if d is not None)
+    if None in came or any(r["without_id"] for r in came.values()):
+        raise BadDay("there are events without a day or an id, so they cannot be told from re-sent ones")
+    stored = spark.createDataFrame([], EVENT_CLEAN)
+    if hf.exists(spark, f"{root}/sorted"):
+        stored = read_layout(spark, root, "sorted").where(F.col("day").isin(days))
+
+    ids = stored.select(*_KEYS, F.lit(True).alias("known"))
+    clean(arrived).join(ids, _KEYS, "left").write.option("compression", "zstd").parquet(marks)
+    marked = spark.read.parquet(marks)
+    known = marked.where("known")
+    write_sorted(marked.where("known IS NULL"), staged)
+
+    # only ids that came again are looked up whole
+    again = known.select(*_KEYS, F.struct(*_REST).alias("new")).join(
+        stored.select(*_KEYS, F.struct(*_REST).alias("old")), _KEYS)
+    overruled = sorted(r["day"] for r in again.where("new < old").select("day").distinct().collect())
+    counts = {r["day"]: (r["known"], 0) for r in known.groupBy("day").agg(F.count("*").alias("known")).collect()}
+    for r in spark.read.schema(EVENT_CLEAN).parquet(staged).groupBy("day").agg(F.count("*").alias("added")).collect():
+        counts[r["day"]] = (counts.get(r["day"], (0, 0))[0], r["added"])
+    hf.drop(spark, marks)
+    if problems := [f"{d}: {came[d]['ids']} ids arrived, {counts.get(d, (0, 0))[0]} known and {counts.get(d, (0, 0))[1]} new"
+                    for d in days if sum(counts.get(d, (0, 0))) != came[d]["ids"]]:
+        hf.drop(spark, staged)
+        raise BadDay("; ".join(problems))
+
+    hf.add_to_days(spark, staged, f"{root}/sorted", [d for d in days if d not in overruled and counts[d][1]])
+    if overruled:
+        ingest_days(spark, landing, root, overruled)
+    changed = sorted({*overruled, *(d for d in days if counts[d][1])})
+    if refresh_rollups and changed:
+        write_rollups(read_layout(spark, root, "sorted"), root, days=changed)
+    audit = [(d, came[d]["rows"], came[d]["rows"] - came[d]["ids"], *counts[d], d in overruled) for d in days]
+    if audit:
+        append_records(spark, audit, ARRIVAL_AUDIT, f"{root}/arrival_runs")
+    return spark.createDataFrame(audit, ARRIVAL_AUDIT)
+
+
+def compact_days(spark: SparkSession, root: str, days: list[date]) -> None:
+    """Put the files that arrivals added to these days in order again: sorted ranges of the day, as cleaning it whole
+    leaves it. A day that would not hold as many rows as before stops the job with nothing changed."""
+    staged = f"{root}/_incoming/compact-{uuid.uuid4().hex[:12]}"
+    before = read_layout(spark, root, "sorted").where(F.col("day").isin(days))
+    write_sorted(before, staged)
+
+    def rows(df: DataFrame) -> dict[date, int]:
+        return {r["day"]: r["count"] for r in df.groupBy("day").count().collect()}
+
+    had, has = rows(before), rows(spark.read.schema(EVENT_CLEAN).parquet(staged))
+    if had != has:
+        hf.drop(spark, staged)
+        raise BadDay(f"had {had}, would have {has}")
+    hf.replace_days(spark, staged, f"{root}/sorted", sorted(had))
+
+
 def _mb_per_day(spark: SparkSession, root: str, days: list[date]) -> dict[date, float]:
     """Size of the data files per day folder; only the folders asked for are listed."""
     sizes: dict[date, float] = {}

@@ -73,6 +73,14 @@ DAY_AUDIT = T.StructType([
     T.StructField("csv_gz_mb", T.DoubleType()),
     T.StructField("parquet_mb", T.DoubleType()),
 ])
+ARRIVAL_AUDIT = T.StructType([
+    T.StructField("day", T.DateType()),
+    T.StructField("rows_in", T.LongType()),
+    T.StructField("repeats", T.LongType()),
+    T.StructField("known", T.LongType()),
+    T.StructField("added", T.LongType()),
+    T.StructField("cleaned_whole", T.BooleanType()),
+])
 BATCH_AUDIT = T.StructType([
     T.StructField("batch", T.StringType()),
     T.StructField("started_at", T.StringType()),

@@ -53,6 +53,12 @@ def read_landing(spark: SparkSession, root: str) -> DataFrame:
     return read_csv_events(spark, root, EVENT)
 
 
+def stream_landing(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of arriving CSV files, each file once. Files count however long ago they were written."""
+    files = spark.readStream.options(**CSV_READ).option("enforceSchema", False).option("maxFileAge", "36500d")
+    return files.schema(EVENT).csv(root)
+
+
 def count_landing(spark: SparkSession, root: str, days: list[date]) -> DataFrame:
     """Rows and different event ids that arrived per day.
 

@@ -173,18 +173,37 @@ def recover(spark: SparkSession, place: Callable[[str], str], journal: str, run:
     drop(spark, journal)
 
 
+def _in_days(final: str) -> Callable[[str], str]:
+    """Final place of a name in the journal of a table of day folders: a day, or a file of it as day~file."""
+    return lambda name: f"{final}/{name.replace('~', '/', 1)}"
+
+
 def replace_days(spark: SparkSession, staged: str, final: str, days: list[date]) -> None:
     """Put staged day folders in place of exactly these days. A day without staged rows ends up
     without a folder, so that nothing stale is left of it. If a run is cut off, the next one for these days starts from
     what was there before."""
     have = set(present_days(spark, staged))
     moves = {f"day={d}": (f"{staged}/day={d}" if d in have else None, f"{final}/day={d}") for d in days}
-    journal = f"{final.rstrip('/')}_journal"
-    recover(spark, lambda name: f"{final}/{name}", journal)
-    publish(spark, moves, journal)
+    _publish_days(spark, moves, final)
     drop(spark, staged)
 
 
+def add_to_days(spark: SparkSession, staged: str, final: str, days: list[date]) -> None:
+    """Put the staged files of these days beside what stands there, under replace_days()' journal: all of them or none."""
+    place = _in_days(final)
+    names = [f"day={d}~{file}" for d in days for file in child_names(spark, f"{staged}/day={d}")]
+    _publish_days(spark, {n: (f"{staged}/{n.replace('~', '/', 1)}", place(n)) for n in names}, final)
+    drop(spark, staged)
+
+
+def _publish_days(spark: SparkSession, moves: dict[str, tuple[str | None, str]], final: str) -> None:
+    journal = f"{final.rstrip('/')}_journal"
+    # a run that was cut off may have been about other days or files than this one
+    recover(spark, _in_days(final), journal)
+    if moves:
+        publish(spark, moves, journal)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     if fs.exists(p):

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.functions import day_from_path
-from eventlake.plans.daily_ingest import ingest_days
+from eventlake.plans.daily_ingest import add_arrivals, ingest_days
+from eventlake.schemas import EVENT
+from eventlake.sources import hadoop_files as hf
+from eventlake.sources.events import stream_landing
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -42,3 +46,26 @@ def ingest_arrivals(spark: SparkSession, landing: str, root: str, checkpoint: st
     )
     query.awaitTermination()
     return len(batches)
+
+
+def ingest_arrivals_as_deltas(spark: SparkSession, landing: str, root: str, checkpoint: str,
+                              refresh_rollups: bool = False) -> int:
+    """Add the events of files that landed since the last run to their days, then stop. Returns the number of batches.
+
+    Each file is read once, and nothing that arrived before is read again; what the table holds in the end is what
+    ingest_arrivals() gives. A batch that was cut off is run again and finds its events known. A file that is
+    changed in place under its name is not seen; clean such a day whole."""
+    batches = []
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        # parsed once here; what follows runs in the caller's session, where plans adapt to the sizes met
+        arrived = f"{root}/_incoming/arrived-{uuid.uuid4().hex[:12]}"
+        batch.write.option("compression", "zstd").parquet(arrived)
+        add_arrivals(spark, spark.read.schema(EVENT).parquet(arrived), landing, root, refresh_rollups)
+        hf.drop(spark, arrived)
+        batches.append(batch_id)
+
+    query = (stream_landing(spark, landing).writeStream.foreachBatch(add)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return len(batches)

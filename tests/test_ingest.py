@@ -9,15 +9,15 @@ from eventlake.catalog.base import land
 from eventlake.operators.compare import same_answer
 from eventlake.operators.dedupe import latest_per_key, one_per_key
 from eventlake.plans import layouts as lay
-from eventlake.plans.daily_ingest import BadDay, clean, ingest_days
+from eventlake.plans.daily_ingest import BadDay, add_arrivals, clean, compact_days, ingest_days
 from eventlake.plans.publish import publish_days, publish_small_tables
-from eventlake.schemas import DAY_AUDIT, EVENT_CLEAN
+from eventlake.schemas import ARRIVAL_AUDIT, DAY_AUDIT, EVENT_CLEAN
 from eventlake.sources import hadoop_files as hf
 from eventlake.sources.events import CSV_WRITE, device_events, read_landing, read_layout
 from eventlake.sources.files import list_files
 from eventlake.sources.runs import read_runs, track
 from eventlake.sources.views import read_small_table
-from eventlake.streaming.arrivals import ingest_arrivals
+from eventlake.streaming.arrivals import ingest_arrivals, ingest_arrivals_as_deltas
 
 DAYS = [date(2024, 1, d) for d in (1, 2, 3)]
 
@@ -235,3 +235,95 @@ def test_arrived_lines_are_counted_as_the_csv_reader_sees_them(spark, landing, t
     (folder / "b.csv").write_text("\n".join(['"' + names.replace(",", '","') + '"', line % 3]) + "\n")
     got = [tuple(r) for r in count_landing(spark, str(tmp_path), DAYS[:1]).collect()]
     assert got == by_reader(str(tmp_path)) == [(DAYS[0], 4, 3)]
+
+
+def by_folder(events, path):
+    """CSV files in day folders, appended beside those that are there."""
+    events.write.mode("append").options(**CSV_WRITE).option("compression", "gzip").partitionBy("day").csv(path)
+
+
+def test_deltas_give_what_cleaning_whole_gives(spark, events, tmp_path):
+    landing, root, progress = (str(tmp_path / n) for n in ("landing", "root", "progress"))
+    odd = F.col("event_id") % 2 == 1
+    by_folder(events.where(odd & (F.col("day") != F.lit(DAYS[2]))), landing)
+    assert ingest_arrivals_as_deltas(spark, landing, root, progress, refresh_rollups=True) == 1
+    assert ingest_arrivals_as_deltas(spark, landing, root, progress) == 0
+    stood = {r["path"] for r in list_files(spark, f"{root}/sorted").collect()}
+
+    # late events of one day, a new day, re-sent events of another day; twice in the same batch
+    late = events.where((~odd & (F.col("day") == F.lit(DAYS[1]))) | (F.col("day") == F.lit(DAYS[2])))
+    again = events.where(odd & (F.col("day") == F.lit(DAYS[0])))
+    by_folder(late.unionByName(again).unionByName(again), landing)
+    assert ingest_arrivals_as_deltas(spark, landing, root, progress, refresh_rollups=True) == 1
+    now = {r["path"] for r in list_files(spark, f"{root}/sorted").collect()}
+    assert stood < now  # what stood was not written again
+    assert not any(f"day={DAYS[0]}" in p for p in now - stood)
+
+    whole = str(tmp_path / "whole")
+    ingest_days(spark, landing, whole, DAYS, refresh_rollups=True)
+    assert same_answer(read_layout(spark, root, "sorted"), read_layout(spark, whole, "sorted"))
+    for name in ("rollup_daily_health", "rollup_daily_errors"):
+        a, b = (read_small_table(spark, r, name) for r in (root, whole))
+        assert same_answer(a.drop("month"), b.drop("month"))
+    runs = {(r["day"], r["added"] > 0): r for r in read_runs(spark, f"{root}/arrival_runs", ARRIVAL_AUDIT).collect()}
+    n = again.count()
+    assert (runs[DAYS[0], False]["rows_in"], runs[DAYS[0], False]["repeats"], runs[DAYS[0], False]["known"]) == (2 * n, n, n)
+    assert hf.child_names(spark, f"{root}/_incoming") == []
+
+
+@pytest.mark.parametrize("change", [-1, 1])
+def test_a_resent_event_that_differs(spark, events, tmp_path, change):
+    """Whichever of the two comes first in the order of the de-duplication stays, as if both had come at once."""
+    landing, root, progress = (str(tmp_path / n) for n in ("landing", "root", "progress"))
+    day = events.where(F.col("day") == F.lit(DAYS[0]))
+    by_folder(day, landing)
+    ingest_arrivals_as_deltas(spark, landing, root, progress)
+    by_folder(day.where("event_id % 7 = 0").withColumn("device_id", F.col("device_id") + change).unionByName(
+        day.where("event_id % 7 = 1").withColumn("error_code", F.lit(None).cast("smallint"))), landing)
+    ingest_arrivals_as_deltas(spark, landing, root, progress)
+    whole = str(tmp_path / "whole")
+    ingest_days(spark, landing, whole, DAYS[:1])
+    assert same_answer(read_layout(spark, root, "sorted"), read_layout(spark, whole, "sorted"))
+
+
+def test_added_events_may_come_again_and_bad_ones_are_refused(spark, events, tmp_path):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "root")
+    day = events.where(F.col("day") == F.lit(DAYS[0]))
+    none = add_arrivals(spark, day.limit(0), landing, root)
+    assert none.count() == 0 and hf.present_days(spark, f"{root}/sorted") == []
+    add_arrivals(spark, day.where("event_id % 2 = 0"), landing, root)
+    add_arrivals(spark, day, landing, root)
+    add_arrivals(spark, day, landing, root)
+    assert same_answer(read_layout(spark, root, "sorted").drop("conn"), day)
+    for column in ("event_id", "day"):
+        bad = day.limit(3).withColumn(column, F.lit(None).cast(day.schema[column].dataType))
+        with pytest.raises(BadDay):
+            add_arrivals(spark, bad, landing, root)
+    assert same_answer(read_layout(spark, root, "sorted").drop("conn"), day)
+    compact_days(spark, root, DAYS[:1])
+    assert same_answer(read_layout(spark, root, "sorted").drop("conn"), day)
+
+
+def test_adding_that_is_cut_off_is_undone(spark, events, tmp_path, monkeypatch):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "root")
+    days = events.where(F.col("day").isin(DAYS[:2]))
+    add_arrivals(spark, days.where("event_id % 2 = 0"), landing, root)
+    before = {r["path"] for r in list_files(spark, f"{root}/sorted").collect()}
+    drop, real = hf.drop, hf.exists
+
+    def cut_off(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    # the files are moved in, but the run ends before it can say so
+    monkeypatch.setattr(hf, "drop", lambda s, p: cut_off() if p.endswith("_journal") else drop(s, p))
+    with pytest.raises(KeyboardInterrupt):
+        add_arrivals(spark, days, landing, root)
+    monkeypatch.setattr(hf, "drop", drop)
+    journal = f"{root}/sorted_journal"
+    assert real(spark, f"{journal}/done")
+    hf.drop(spark, f"{journal}/done")
+    monkeypatch.setattr(hf, "LEASE_SECONDS", 0)
+    hf.recover(spark, hf._in_days(f"{root}/sorted"), journal)
+    assert {r["path"] for r in list_files(spark, f"{root}/sorted").collect()} == before
+    add_arrivals(spark, days, landing, root)
+    assert same_answer(read_layout(spark, root, "sorted").drop("conn"), days)

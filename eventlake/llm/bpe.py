@@ -3,7 +3,14 @@
 A partition's texts are cut by the pre-tokenizer's pattern. Its distinct words become token-position rows, one row per byte. A
 recursive query joins neighbours with the merge table, and each round contracts each word's leftmost pair of
 the smallest rank, until no pair of any word can be merged. Words that are through are looked up for the
-rest of the partition. Decoding joins the ids of a text with the vocabulary and puts the pieces together in order."""
+rest of the partition. Decoding joins the ids of a text with the vocabulary and puts the pieces together in order.
+
+A long word needs as many rounds as it has merges, each over the whole word. It is cut into chunks that overlap, and the chunks'
+tokens are put together where two neighbours agree on a token. This gives the word's own ids: tokens are those
+of a text exactly if each two that follow each other are those of the two alone. For, as long as no merge crosses a
+border of tokens, what happens inside of two neighbours is what happens to them alone, so the first merge that crosses one would cross it there too.
+Neighbours inside of a chunk pass by that rule, and where chunks agree on a token each pair of neighbours lies in one of them.
+Where they agree on none, chunks and overlaps are doubled, in the end to the whole word."""
 
 from __future__ import annotations
 
@@ -26,8 +33,12 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 KEPT_WORDS = 250_000
 #: Words' bytes, and ids, that one query gets.
 QUERY_BYTES, QUERY_IDS = 1 << 18, 1 << 18
-#: Longer words run on their own, as they need as many rounds as they have bytes, at worst.
+#: Longer words run apart from the others, as they need as many rounds as they have bytes, at worst.
 SHORT = 32
+#: Words of more than two laps are cut into chunks of two laps; each chunk shares one with the next.
+LAP = 64
+#: Squared lengths of the words that one query gets, which bound the list entries of all of its rounds.
+QUERY_SQUARES = 1 << 23
 MEMORY = "200MB"
 
 
@@ -51,6 +62,9 @@ WITH RECURSIVE t(w, toks, live) AS (
     FROM t LEFT JOIN chosen USING (w) WHERE live))
 SELECT w, toks AS ids FROM t WHERE NOT live ORDER BY w"""
 
+# The same for a chunk beyond QUERY_SQUARES: only the last round's list of a word is kept, at more time a round.
+LONG_ROUNDS = ROUNDS.replace("t(w, toks, live) AS", "t(w, toks, live) USING KEY (w) AS").replace("UNION ALL", "UNION")
+
 PIECES = """
 SELECT d, string_agg(piece, '' ORDER BY pos) AS text
 FROM ids JOIN vocabulary USING (tok) GROUP BY d ORDER BY d"""
@@ -63,9 +77,11 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}
         self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.length[list(ranks.values())] = [len(p) for p in ranks]
         merges = [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
         a, b, r = (pa.array(c, pa.int64()) for c in zip(*merges, strict=True))
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self._table("merges", pa.table({"a": a, "b": b, "rank": r}))
         # bytes as the characters of the same numbers, so that pieces can be put together as text
         self._table("vocabulary", pa.table({"tok": pa.array(ranks.values(), pa.int64()), "piece": [p.decode("latin-1") for p in ranks]}))
@@ -75,31 +91,67 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, words: list[bytes]) -> list[bytes]:
+    def _query(self, words: list[bytes], rounds: str) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit numbers."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         w = np.repeat(np.arange(len(words)), lengths)
         pos = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
         self.db.register("start", pa.table({"w": w, "pos": pos, "tok": self.byte_rank[np.frombuffer(b"".join(words), np.uint8)]}))
-        ids = self.db.sql(ROUNDS).to_arrow_table()["ids"].combine_chunks()
+        ids = self.db.sql(rounds).to_arrow_table()["ids"].combine_chunks()
         self.db.unregister("start")
         flat, at = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
         return [flat[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
 
-    def _learn(self, new: set[str]) -> None:
-        todo = sorted(new, key=lambda w: (len(w) > SHORT, w))
-        group: list[str] = []
-        coded: list[bytes] = []
-        size = 0
-        for w in [*todo, ""]:
-            code = w.encode()
-            if group and (not w or size + len(code) > QUERY_BYTES or (len(code) > SHORT) != (len(coded[0]) > SHORT)):
-                self.words.update(zip(group, self._contract(coded), strict=True))
-                group, coded, size = [], [], 0
+    def _contract(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word, by queries that each get a bounded number of bytes and squares, or one word."""
+        out: dict[bytes, bytes] = {}
+        group: list[bytes] = []
+        size = squares = 0
+        for w in [*sorted(words, key=lambda w: (len(w) > SHORT, w)), b""]:
+            n = len(w)
+            if group and (not w or size + n > QUERY_BYTES or squares + n * n > QUERY_SQUARES or (n > SHORT) != (len(group[0]) > SHORT)):
+                out.update(zip(group, self._query(group, ROUNDS if squares <= QUERY_SQUARES else LONG_ROUNDS), strict=True))
+                group, size, squares = [], 0, 0
             group.append(w)
-            coded.append(code)
-            size += len(code)
+            size, squares = size + n, squares + n * n
+        return out
+
+    def _contract_long(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words of more than two laps, from those of their chunks."""
+        out: dict[bytes, bytes] = {}
+        lap = LAP
+        while words:
+            cut = {w: [w[s: s + 2 * lap] for s in range(0, max(len(w) - lap, 1), lap)] for w in words}
+            ids = self._contract({c for chunks in cut.values() for c in chunks})
+            for w, chunks in cut.items():
+                joined = self._joined([np.frombuffer(ids[c], "<u4") for c in chunks], lap)
+                if joined is not None:
+                    out[w] = joined
+            words = words - out.keys()
+            lap *= 2
+        return out
+
+    def _joined(self, chunks: list[np.ndarray], lap: int) -> bytes | None:
+        """The ids of neighbouring chunks put together, each from the first token that it shares with the one before."""
+        parts = []
+        before, starts = chunks[0], np.cumsum(self.length[chunks[0]]) - self.length[chunks[0]]
+        for i, after in enumerate(chunks[1:], 1):
+            begins = i * lap + np.cumsum(self.length[after]) - self.length[after]
+            shared, a, b = np.intersect1d(starts, begins, assume_unique=True, return_indices=True)
+            same = np.flatnonzero(before[a] == after[b])
+            if not len(same):
+                return None
+            first = same[0]
+            parts.append(before[: a[first]])
+            before, starts = after[b[first]:], begins[b[first]:]
+        return b"".join(p.tobytes() for p in [*parts, before])
+
+    def _learn(self, new: set[str]) -> None:
+        coded = {w: w.encode() for w in new}
+        ids = self._contract({c for c in coded.values() if len(c) <= 2 * LAP})
+        ids |= self._contract_long({c for c in coded.values() if len(c) > 2 * LAP})
+        self.words.update((w, ids[c]) for w, c in coded.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > KEPT_WORDS:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -343,6 +345,46 @@ def test_bpe_long_lists_and_small_queries(monkeypatch):
     assert codec.decode(codec.encode(texts)) == [t.encode() for t in texts]
 
 
+def long_matches():
+    """Single matches of the pattern: many letters by chance, one letter, runs of spaces and signs, short periods, other scripts."""
+    rng = np.random.default_rng(5)
+
+    def drawn(letters, n):
+        return "".join(rng.choice(list(letters), n))
+
+    return [drawn("abcdefghijklmnopqrstuvwxyz", 3000), drawn("ab", 2000), drawn("etaoinshr", 2500), "x" * 1777, " " * 1500, "-" * 1300, "=" * 700 + "-" * 700,
+            "abc" * 700, "abcde" * 300 + "abcd" * 300, "日本語" * 300, drawn("日本語한국어ελ", 800), "é" * 999, "\n" * 1000, "a" * 128, "a" * 129, "b" * 130, "ab" * 65,
+            "".join("supercalifragilistic"[: i % 20 + 1] for i in range(200))]
+
+
+@pytest.mark.parametrize(("lap", "squares"), [(64, 1 << 23), (8, 1 << 23), (3, 200), (1, 1)])
+def test_bpe_long_matches_in_chunks(monkeypatch, lap, squares):
+    """The chunks' tokens put together are the library's, whatever the lap, and also where only the whole word will do."""
+    monkeypatch.setattr(bpe, "LAP", lap)
+    monkeypatch.setattr(bpe, "QUERY_SQUARES", squares)
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [t if lap == 64 else t[:150] for t in long_matches()]
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    got = codec.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.encode_ordinary(t) for t in texts]
+    assert codec.decode(got) == [t.encode() for t in texts]
+
+
+def test_bpe_a_match_of_200_000_bytes(tmp_path, monkeypatch):
+    """Ends in seconds, and no query puts anything on disk."""
+    monkeypatch.chdir(tmp_path)
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    text = "".join(np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))
+    begin = time.perf_counter()
+    got = codec.encode([text])
+    assert time.perf_counter() - begin < 60
+    assert np.frombuffer(got[0], "<u4").tolist() == enc.encode_ordinary(text)
+    assert list(tmp_path.iterdir()) == []
+
+
 # ---- 10
 
 def brute_words(docs, window):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventlake.catalog.base import BAD_DAY, RAW_COLUMNS, WEEK, between, built, query, sql
-from eventlake.plans.daily_ingest import compact_days, ingest_days
+from eventlake.plans.daily_ingest import BadDay, compact_days, ingest_days
 from eventlake.schemas import ARRIVAL_AUDIT, DAY_AUDIT
 from eventlake.session import new_scratch
 from eventlake.sources import hadoop_files as hf
@@ -89,3 +89,26 @@ def _(s, d):
     return runs.groupBy("day").agg(
         F.sum("rows_in").alias("rows_in"), F.sum("added").alias("added"), F.sum("known").alias("known"),
         F.bool_or("cleaned_whole").alias("cleaned_whole"))
+
+
+@query("daily_check", sql(
+    f"""SELECT t.expected, day, count(*) AS rows, t.expected <> 'wrong' AS published
+        FROM ev, (SELECT unnest(['wrong', 'right']) AS expected) t WHERE {between(WEEK)} GROUP BY ALL"""))
+def _(s, d):
+    """Days ingested with one expected row too many and with the right numbers: refused, then published."""
+    path, days = _landed(s, d)
+    week = [x for x in days if WEEK[0] <= x <= WEEK[1]]
+    rows = device_events(s, d, *WEEK).groupBy("day").agg(F.count("*").alias("rows"))
+    right = {r["day"]: r["rows"] for r in rows.collect()}
+    outcomes = []
+    for name, expected in (("wrong", right | {BAD_DAY: right[BAD_DAY] + 1}), ("right", right)):
+        root = new_scratch(s, "ingest")
+        try:
+            ingest_days(s, path, root, week, expected_rows=expected)
+        except BadDay:
+            pass
+        outcomes += [(name, x) for x in hf.present_days(s, f"{root}/sorted")]
+    present = s.createDataFrame(outcomes, "expected string, day date").withColumn("published", F.lit(True))
+    asked = rows.withColumn("expected", F.explode(F.array(F.lit("wrong"), F.lit("right"))))
+    return asked.join(present, ["expected", "day"], "left").select(
+        "expected", "day", "rows", F.coalesce("published", F.lit(False)).alias("published"))

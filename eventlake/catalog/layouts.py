@@ -342,6 +342,22 @@ def _(s, d):
     return one.select((F.col("bytes") > F.col("rows") * 50).alias("grows"), "rows")
 
 
+@query("whole_file_cost_of_rollups", sql(
+    """SELECT 'rollup_daily_health' AS layout, count(*) AS rows, true AS as_read, true AS billed FROM health
+       UNION ALL SELECT 'rollup_daily_errors', count(*), true, true FROM errs""", EV, HEALTH, ERRORS))
+def _(s, d):
+    """Bytes and files of the roll-ups by their listing, against the files that a whole read meets."""
+    root = built(s, d, "rollups")
+    met = []
+    for name in ("rollup_daily_health", "rollup_daily_errors"):
+        per_file = read_small_table(s, root, name).groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count("*").alias("n"))
+        met.append(per_file.agg(F.lit(name).alias("layout"), F.sum("n").alias("rows"), F.sum("file_size").alias("size"), F.count("*").alias("met")))
+    cost = scan.whole_file_cost_per_layout(report.layout_files(s, root))
+    billed = F.abs(F.col("usd_per_1000") - F.greatest(F.col("bytes") / 1e6, F.lit(10.0)) * 0.005) < 1e-9
+    return met[0].unionByName(met[1]).join(cost, "layout").select(
+        "layout", "rows", ((F.col("size") == F.col("bytes")) & (F.col("met") == F.col("files"))).alias("as_read"), billed.alias("billed"))
+
+
 # ---- measurement tables -----------------------------------------------------------------------
 
 MEASURED_SQL = """m AS (

@@ -73,6 +73,10 @@ def bitmaps(s, d):
     return read_small_table(s, built(s, d, "rollups"), "rollup_daily_device_bitmaps")
 
 
+def counts(s, d):
+    return ask.profile_counts(device_events(s, d))
+
+
 def _sketched_and_exact(s, d):
     """Estimates of the stored sketches beside the exact counts of the stored bitmaps."""
     sketches = read_small_table(s, built(s, d, "rollups"), "rollup_daily_device_sketches")
@@ -141,18 +145,33 @@ query("failures_per_day_rollup", PER_DAY_SQL)(
 PCT = "round(CAST(100 AS DOUBLE) * count(*) FILTER (WHERE status = 'fail') / count(*), 2)"
 query("profile_overview", sql(
     f"""SELECT count(*) AS rows, count(DISTINCT day) AS days, count(DISTINCT device_id) AS devices,
-               {PCT} AS fail_pct FROM ev"""))(lambda s, d: ask.profile_overview(device_events(s, d)))
+               {PCT} AS fail_pct FROM ev"""))(lambda s, d: ask.profile_overview(counts(s, d), device_events(s, d)))
 query("profile_daily_range", sql(
     f"""SELECT min(pct) AS lowest, max(pct) AS highest FROM (SELECT {PCT} AS pct FROM ev GROUP BY day)"""))(
-    lambda s, d: ask.profile_daily_range(device_events(s, d)))
+    lambda s, d: ask.profile_daily_range(counts(s, d)))
 query("profile_top_codes", sql(
     """SELECT error_code, count(*) AS failures FROM ev WHERE status = 'fail'
-       GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"""))(lambda s, d: ask.profile_top_codes(device_events(s, d)))
+       GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5"""))(lambda s, d: ask.profile_top_codes(counts(s, d)))
 query("profile_top_models", sql(
     f"""SELECT device_model, count(*) AS events, {PCT} AS fail_pct FROM ev
-        GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"""))(lambda s, d: ask.profile_top_models(device_events(s, d)))
+        GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3"""))(lambda s, d: ask.profile_top_models(counts(s, d)))
 query("profile_incident", sql(
     f"""SELECT CASE WHEN day = DATE '{BAD_DAY}' THEN 'bad day' ELSE 'other days' END AS which,
                {PCT} AS fail_pct FROM ev
         WHERE device_model = '{MODEL}' AND os_version = '{OS_VERSION}' GROUP BY 1"""))(
-    lambda s, d: ask.profile_incident(device_events(s, d), MODEL, OS_VERSION, BAD_DAY))
+    lambda s, d: ask.profile_incident(counts(s, d), MODEL, OS_VERSION, BAD_DAY))
+
+
+@query("profile_of_one_scan", sql(
+    f"""SELECT 'overview' AS part, CAST(count(*) AS VARCHAR) AS name, {PCT} AS fail_pct FROM ev
+        UNION ALL
+        SELECT 'top_models', device_model, pct FROM (
+            SELECT device_model, {PCT} AS pct FROM ev GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)
+        UNION ALL
+        SELECT 'incident', CASE WHEN day = DATE '{BAD_DAY}' THEN 'bad day' ELSE 'other days' END, {PCT} FROM ev
+        WHERE device_model = '{MODEL}' AND os_version = '{OS_VERSION}' GROUP BY 2"""))
+def _(s, d):
+    tables = ask.profile_events(device_events(s, d), MODEL, OS_VERSION, BAD_DAY)
+    named = (("overview", F.col("rows").cast("string")), ("top_models", F.col("device_model")), ("incident", F.col("which")))
+    parts = [tables[t].select(F.lit(t).alias("part"), name.alias("name"), "fail_pct") for t, name in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

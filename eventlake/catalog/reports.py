@@ -194,3 +194,13 @@ def _(s, d):
         out.append((name, verdict))
     verdicts = F.array(*[F.struct(F.lit(b).alias("batch"), F.lit(v).alias("verdict")) for b, v in out])
     return rows.agg(F.count("*").alias("rows_in_file")).select(F.inline(verdicts), "rows_in_file")
+
+
+@query("report_batch_conservation", sql(
+    """SELECT '2024-batch' AS batch, count(*) AS rows, count(*) - count(DISTINCT id) AS repeats, count(DISTINCT id) AS hot_rows
+       FROM rep""", EV, REPORTS))
+def _(s, d):
+    """Rows and repeats that the load noted, beside the rows of the hot table as it is read back."""
+    root = _loaded(s, d)
+    noted = read_runs(s, f"{root}/batch_runs", BATCH_AUDIT).select("batch", "rows", "repeats")
+    return noted.join(read_hot(s, root).groupBy("batch").agg(F.count("*").alias("hot_rows")), "batch")

@@ -61,6 +61,12 @@ def whole_file_cost(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
 
 
+def whole_file_cost_per_layout(files: DataFrame) -> DataFrame:
+    """The same for each layout and roll-up of layout_files(): what one question that reads all of it costs."""
+    costs = files.groupBy("layout").agg(F.sum("length").alias("bytes"), F.count("*").alias("files"))
+    return costs.withColumn("usd_per_1000", usd_per_1000(F.col("bytes") / 1e6))
+
+
 def usd_per_1000(mb: Column) -> Column:
     """Price of a thousand such queries on an engine that bills per byte scanned."""
     return F.greatest(mb, F.lit(float(MIN_BILLED_MB))) / 1e6 * USD_PER_TB * 1000

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventlake.functions import fail_pct, in_window, json_text
 from eventlake.operators.rollups import merge_device_bitmaps, merge_device_sketches
+from eventlake.session import compute_once
 
 
 def failed() -> Column:
@@ -128,43 +129,60 @@ def events_per_status(events: DataFrame, day: date) -> DataFrame:
     return events.where(F.col("day") == F.lit(day)).groupBy("status").agg(F.count("*").alias("events"))
 
 
-def profile_overview(events: DataFrame) -> DataFrame:
-    return events.agg(
-        F.count("*").alias("rows"), F.countDistinct("day").alias("days"),
-        F.countDistinct("device_id").alias("devices"),
-        fail_pct(F.count_if(failed()), F.count("*")).alias("fail_pct"))
+def profile_counts(events: DataFrame) -> DataFrame:
+    """Events per day, model, OS, status and error code: all that a profile needs but the devices, in one scan.
 
+    It has as many rows as there are such groups, however many events; conditions on a key reach the scan."""
+    return events.groupBy("day", "device_model", "os_version", "status", "error_code").agg(F.count("*").alias("events"))
 
-def profile_daily_range(events: DataFrame) -> DataFrame:
+
+def _sums() -> tuple[Column, Column]:
+    """Failures and events of a group of profile_counts()."""
+    bad = F.sum(F.when(failed(), F.col("events")).otherwise(0))
+    return F.coalesce(bad, F.lit(0)), F.coalesce(F.sum("events"), F.lit(0))
+
+
+def profile_overview(counts: DataFrame, events: DataFrame) -> DataFrame:
+    """Rows, days, devices and fail rate. Days come from the counts and devices from a scan of their own column, so that
+    no event is sent once per distinct count."""
+    bad, n = _sums()
+    totals = counts.agg(n.alias("rows"), F.countDistinct("day").alias("days"), fail_pct(bad, n).alias("fail_pct"))
+    devices = events.agg(F.countDistinct("device_id").alias("devices"))
+    both = totals.unionByName(devices, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("rows", "days", "devices", "fail_pct")])
+
+
+def profile_daily_range(counts: DataFrame) -> DataFrame:
     """Lowest and highest fail rate of a day."""
-    daily = events.groupBy("day").agg(fail_pct(F.count_if(failed()), F.count("*")).alias("pct"))
+    daily = counts.groupBy("day").agg(fail_pct(*_sums()).alias("pct"))
     return daily.agg(F.min("pct").alias("lowest"), F.max("pct").alias("highest"))
 
 
-def profile_top_codes(events: DataFrame, k: int = 5) -> DataFrame:
-    counted = events.where(failed()).groupBy("error_code").agg(F.count("*").alias("failures"))
+def profile_top_codes(counts: DataFrame, k: int = 5) -> DataFrame:
+    counted = counts.where(failed()).groupBy("error_code").agg(F.sum("events").alias("failures"))
     return counted.orderBy(F.desc("failures"), "error_code").limit(k)
 
 
-def profile_top_models(events: DataFrame, k: int = 3) -> DataFrame:
-    counted = events.groupBy("device_model").agg(
-        F.count("*").alias("events"), fail_pct(F.count_if(failed()), F.count("*")).alias("fail_pct"))
+def profile_top_models(counts: DataFrame, k: int = 3) -> DataFrame:
+    counted = counts.groupBy("device_model").agg(F.sum("events").alias("events"), fail_pct(*_sums()).alias("fail_pct"))
     return counted.orderBy(F.desc("events"), "device_model").limit(k)
 
 
-def profile_incident(events: DataFrame, model: str, os_version: str, day: date) -> DataFrame:
+def profile_incident(counts: DataFrame, model: str, os_version: str, day: date) -> DataFrame:
     """Fail rate of one model and OS on one day, against all other days."""
-    own = events.where((F.col("device_model") == model) & (F.col("os_version") == os_version))
+    own = counts.where((F.col("device_model") == model) & (F.col("os_version") == os_version))
     which = F.when(F.col("day") == F.lit(day), "bad day").otherwise("other days").alias("which")
-    return own.groupBy(which).agg(fail_pct(F.count_if(failed()), F.count("*")).alias("fail_pct"))
+    return own.groupBy(which).agg(fail_pct(*_sums()).alias("fail_pct"))
 
 
 def profile_events(events: DataFrame, model: str, os_version: str, day: date) -> dict[str, DataFrame]:
-    """A quick look at a data set: five small tables."""
+    """A quick look at a data set: five small tables. Events are scanned once for the counts, which are kept in the
+    shared folder, and once for the devices."""
+    counts = compute_once(profile_counts(events))
     return {
-        "overview": profile_overview(events),
-        "daily_range": profile_daily_range(events),
-        "top_codes": profile_top_codes(events),
-        "top_models": profile_top_models(events),
-        "incident": profile_incident(events, model, os_version, day),
+        "overview": profile_overview(counts, events),
+        "daily_range": profile_daily_range(counts),
+        "top_codes": profile_top_codes(counts),
+        "top_models": profile_top_models(counts),
+        "incident": profile_incident(counts, model, os_version, day),
     }

@@ -91,3 +91,11 @@ def test_profile(events):
     tables = ask.profile_events(events, "DX-300", "ios17", LAST)
     assert set(tables) == {"overview", "daily_range", "top_codes", "top_models", "incident"}
     assert tables["overview"].first()["rows"] == events.count()
+
+
+def test_a_profile_sends_no_event_twice(spark, events):
+    counts = ask.profile_counts(events)
+    plan = ask.profile_overview(counts, events)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    empty = ask.profile_overview(counts.limit(0), events.limit(0)).collect()
+    assert [tuple(r) for r in empty] == [(0, 0, 0, None)]

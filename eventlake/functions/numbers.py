@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def fail_pct(failed: Column, total: Column) -> Column:
-    """Percent with two decimals, as a double."""
-    return F.round(F.lit(100.0) * failed / total, 2)
+    """Percent with two decimals, as a double; NULL where there is nothing to rate."""
+    return F.round(F.lit(100.0) * failed / F.nullif(total, F.lit(0)), 2)
 
 
 def pick(values: Sequence[str], index: Column) -> Column:

@@ -3,7 +3,9 @@ quotes and line breaks, device clocks that run off, missing JSON."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlake.catalog.base import BAD_DAY, EV, query, sql
@@ -18,29 +20,32 @@ from eventlake.sources.runs import read_runs
 WRITE = {"header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}
 
 
-def report_rows(s: SparkSession, d: str) -> DataFrame:
-    k = json_text("props", "k").cast("int")
+def report_rows(s: SparkSession, d: str, note: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows of a report file; note makes another note from the number of an event."""
     def zoned(wall):
         return F.to_timestamp(F.concat(wall.cast("string"), F.lit("Z")))
 
-    ts = zoned(F.col("ts"))
+    # the number and the clock are used many times over, so they are columns and taken from their texts once
+    events = s.read.parquet(f"{d}/events.parquet").withColumns(
+        {"k": json_text("props", "k").cast("int"), "at": zoned(F.col("ts"))})
+    k, n = F.col("k"), F.col("k").cast("string")
     info = F.struct(
         pick(MODELS, F.col("user_id") % 12).alias("Model"),
         pick(OS_VERSIONS, F.col("user_id") % 8).alias("OS Version"),
-        F.format_string('he said "no",\nthen %s', k).alias("Restart Reason"),
+        F.concat(F.lit('he said "no",\nthen '), n).alias("Restart Reason"),
         F.col("value").alias("Drain"),
-        F.when(k % 9 == 0, "none").otherwise(F.format_string("%s hours, %s minutes", k, k % 7)).alias("Uptime"))
+        F.when(k % 9 == 0, "none").otherwise(F.concat(n, F.lit(" hours, "), (k % 7).cast("string"), F.lit(" minutes"))).alias("Uptime"))
     errors = F.struct(k.alias("Kernel"), (k * 2).cast("string").alias("System"))
-    states = F.when(k % 3 > 0, F.array(F.struct(F.format_string("up%s", k % 5).alias("state"))))
+    states = F.when(k % 3 > 0, F.array(F.struct(F.concat(F.lit("up"), (k % 5).cast("string")).alias("state"))))
     numbers = F.when(k % 4 > 0, F.sequence(F.lit(1), k % 4))
-    events = F.struct(F.sequence(F.lit(0), k % 5).alias("Events"))
+    times = F.struct(F.sequence(F.lit(0), k % 5).alias("Events"))
     summary = F.to_json(F.struct(
         info.alias("info"), errors.alias("errors"), F.coalesce(states, F.array()).alias("networks"),
-        numbers.alias("usb"), events.alias("time_sync")))
-    return s.read.parquet(f"{d}/events.parquet").select(
+        numbers.alias("usb"), times.alias("time_sync")))
+    return events.select(
         F.concat(F.lit("r"), F.floor(F.col("event_id") / 3).cast("string")).alias("id"),
-        (ts - F.make_dt_interval(hours=F.lit(1))).alias("created_at"),
-        ts.alias("updated_at"),
+        (F.col("at") - F.make_dt_interval(hours=F.lit(1))).alias("created_at"),
+        F.col("at").alias("updated_at"),
         F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("device_id"),
         F.concat(F.lit("a/"), F.col("event_id").cast("string")).alias("archive_path"),
         F.when(F.col("event_id") % 11 != 0, zoned(F.col("ts") + F.make_dt_interval(days=k - 50)))
@@ -48,7 +53,7 @@ def report_rows(s: SparkSession, d: str) -> DataFrame:
         F.col("event_type").alias("device_kind"),
         F.when(F.col("event_id") % 13 != 0, summary).alias("summary"),
         (F.col("event_type") == "purchase").alias("in_use"),
-        F.col("event_type").alias("note"))
+        (F.col("event_type") if note is None else note(k)).alias("note"))
 
 
 REPORTS = """rep AS (
@@ -152,11 +157,12 @@ def _(s, d):
               true AS many_tasks
        FROM rep""".replace('""', '"'), EV, REPORTS))
 def _(s, d):
-    # one plain file with line breaks and quotes inside of its fields, in ranges of 64 KB
-    events = s.read.parquet(f"{d}/events.parquet").select("event_id", json_text("props", "k").cast("int").alias("k"))
-    end = F.when(F.col("k") % 2 == 0, F.lit("\r\n.")).otherwise(F.lit('"'))
-    notes = events.select(F.concat(F.lit("a/"), F.col("event_id").cast("string")).alias("archive_path"), F.concat(F.lit('said "no",\n'), F.col("k").cast("string"), end).alias("note"))
-    rows = report_rows(s, d).drop("note").join(notes, "archive_path").hint("rebalance")
+    # plain files with line breaks and quotes inside of their fields, in ranges of 64 KB or more
+    def note(k):
+        end = F.when(k % 2 == 0, F.lit("\r\n.")).otherwise(F.lit('"'))
+        return F.concat(F.lit('said "no",\n'), k.cast("string"), end)
+
+    rows = report_rows(s, d, note).hint("rebalance")
     path = _batch_file(s, d, "big.csv", rows, gzip=False)
     read = read_report_files(s, checked_files(s, path), EXAMPLE_REPORT, range_bytes=1 << 16)
     tasks = read.select(F.spark_partition_id().alias("p")).distinct().count()

@@ -24,6 +24,8 @@ from eventlake.sources.files import arrow_location
 
 #: Bytes of a file that one task takes, and bytes looked at at once.
 RANGE_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
+#: Ranges smaller than RANGE_BYTES are made larger where there would be more of them than this: a task costs the same whatever it reads.
+SMALL_RANGES = 256
 QUOTE, COMMA, LF, CR = 34, 44, 10, 13
 BOM = b"\xef\xbb\xbf"
 
@@ -47,6 +49,11 @@ def ranges(spark: SparkSession, files: dict[str, int], range_bytes: int = RANGE_
     return spark.range(0, sum(many), 1, max(1, sum(many))).mapInArrow(place, "path string, size long, start long, length long")
 
 
+def range_size(files: dict[str, int], least: int = RANGE_BYTES) -> int:
+    """Bytes of a range: those asked for, or as many more, up to RANGE_BYTES, as keep the files (path -> size) to SMALL_RANGES."""
+    return max(least, min(RANGE_BYTES, -(-sum(files.values()) // SMALL_RANGES)))
+
+
 def _chunks(file, start: int, end: int, size: int) -> Iterator[tuple[np.ndarray, int, int]]:
     """Bytes of [start, end) in chunks, each with the byte before and the byte behind it; a file begins and ends as after a line."""
     for at in range(start, end, CHUNK_BYTES):
@@ -188,11 +195,13 @@ def records(cut: DataFrame, columns: list[str], inside: set[tuple[str, int]]) ->
 
 def read_quoted(spark: SparkSession, files: dict[str, int], columns: list[str], schema: str,
                 options: dict[str, str], range_bytes: int = RANGE_BYTES) -> tuple[DataFrame | None, list[str]]:
-    """The typed rows of plain CSV files (path -> size), and the files that have to be read in one task each.
+    """The typed rows of plain CSV files (path -> size), and the files that have to be read in one task each. range_bytes: the smallest ranges
+    that they are cut into.
 
     The driver keeps one state per range that begins inside of quotes, no more than the list of splits that any scan keeps there."""
     if not files:
         return None, []
+    range_bytes = range_size(files, range_bytes)
     seen = states(parity(ranges(spark, files, range_bytes))).where("inside or odd > 0").select("path", "start", "inside", "odd").collect()
     odd = {r.path for r in seen if r.odd}
     fit = {f: size for f, size in files.items() if f not in odd}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventlake.schemas import ReportSpec
-from eventlake.sources.quoted_csv import _records, parity, ranges, read_quoted, states
+from eventlake.sources.quoted_csv import RANGE_BYTES, SMALL_RANGES, _records, parity, range_size, ranges, read_quoted, states
 from eventlake.sources.report_files import _READ, read_report_files
 
 SCHEMA = "id long, text string, other string"
@@ -119,3 +119,16 @@ def test_bad_types_stop_the_job(spark, tmp_path):
 def test_nothing_but_a_header(spark, tmp_path):
     write(tmp_path / "a.csv", [])
     assert read_report_files(spark, [str(tmp_path / "a.csv")], SPEC).collect() == []
+
+
+def test_small_ranges_grow_with_the_files(spark, tmp_path):
+    """Ranges of a fixed small size made a task of every 64 KB, whatever the size of the files."""
+    for size in (1, 1 << 16, 1 << 24, (1 << 30) + 1, 6 << 30):
+        files = {"a": size, "b": size // 3}
+        bytes_of = range_size(files, 1 << 16)
+        assert sum(-(-n // bytes_of) for n in files.values()) <= SMALL_RANGES + len(files) and bytes_of >= 1 << 16
+    assert range_size({"a": 1 << 40}, 1 << 16) == RANGE_BYTES and range_size({"a": 1 << 40}, 2 * RANGE_BYTES) == 2 * RANGE_BYTES
+    file = write(tmp_path / "a.csv", rows(2000, 3))
+    got, odd = read_quoted(spark, file, ["id", "text", "other"], SCHEMA, OPTIONS, 16)
+    assert odd == [] and 200 < got.rdd.getNumPartitions() <= SMALL_RANGES + 1
+    assert sorted(map(repr, got.collect())) == one_task(spark, *file)

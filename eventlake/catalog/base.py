@@ -158,7 +158,7 @@ def row_groups(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _BUILDERS = {
     "by_day": lambda s, d, r: lay.write_by_day(device_events(s, d), f"{r}/by_day"),
-    "sorted": lambda s, d, r: lay.write_sorted(lay.with_conn(device_events(s, d)), f"{r}/sorted"),
+    "sorted": lambda s, d, r: lay.write_sorted(device_events(s, d), f"{r}/sorted"),
     "tiny_files": lambda s, d, r: lay.write_tiny_files(device_events(s, d), f"{r}/tiny_files"),
     "single": lambda s, d, r: lay.write_single(device_events(s, d), f"{r}/single"),
     "csv": lambda s, d, r: lay.write_csv(device_events(s, d), f"{r}/csv"),

@@ -70,8 +70,12 @@ def in_day_ranges(events: DataFrame, sort_by: Iterable[str] = SORT_KEY) -> DataF
 
 def write_sorted(cleaned: DataFrame, path: str, replace_days: bool = False) -> None:
     """The cleaned layer: day folders whose files are sorted ranges of the day, so that rare failures sit together
-    and readers can skip the rest. The device is in no sort key; a Bloom filter per row group tells where it is not."""
-    ordered = in_layout_order(in_day_ranges(cleaned.select(*EVENT_CLEAN.fieldNames())))
+    and readers can skip the rest. The device is in no sort key; a Bloom filter per row group tells where it is not.
+
+    A connection type that is not there yet is taken from the payload behind the shuffle, once; before it, the pass that samples the
+    ranges would take it too."""
+    ranged = in_day_ranges(cleaned.select(*[c for c in EVENT_CLEAN.fieldNames() if c in cleaned.columns or c != "conn"]))
+    ordered = in_layout_order((ranged if "conn" in ranged.columns else with_conn(ranged)).select(*EVENT_CLEAN.fieldNames()))
     # small row groups, so that sorted values leave many of them to skip
     _write_days(ordered, path, replace_days=replace_days, row_group_bytes=SORTED_ROW_GROUP_BYTES, bloom=("device_id",))
 
@@ -210,7 +214,7 @@ def build_layouts(spark: SparkSession, root: str, force: bool = False,
         hf.publish(spark, {"note": (staged, f"{root}/_built_from")}, f"{root}/_built_from_journal")
         built.append(layout)
 
-    by_day = {"sorted": lambda part, path: write_sorted(with_conn(part), path), "tiny_files": write_tiny_files}
+    by_day = {"sorted": write_sorted, "tiny_files": write_tiny_files}
     for name in (n for n in by_day if n in wanted):
         if todo := stale(name):
             staged = f"{root}/_incoming/{name}-{uuid.uuid4().hex[:12]}"

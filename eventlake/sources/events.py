@@ -106,8 +106,9 @@ def device_events(spark: SparkSession, sf_dir: str, first: date | None = None,
         raw = raw.where(F.col("ts") >= F.lit(str(first)).cast("timestamp_ntz"))
     if last is not None:
         raw = raw.where(F.col("ts") < F.lit(str(last + timedelta(days=1))).cast("timestamp_ntz"))
-    k = json_text("props", "k").cast("int")
-    user = F.col("user_id")
+    # used many times over, so it is a column and taken from its text once
+    raw = raw.withColumn("k", json_text("props", "k").cast("int"))
+    k, user = F.col("k"), F.col("user_id")
     failed = F.col("event_type") == "error"
     payload = F.to_json(F.struct(
         pick(CONNECTIONS, k % 3).alias("conn"),

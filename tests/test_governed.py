@@ -217,3 +217,13 @@ def test_result_size_counts_nulls(spark):
 def test_audit(reader):
     rows = audit(reader, [replace(REFUSED[0][0], label="bad"), replace(ACCEPTED[0], label="good")]).collect()
     assert [(r["tried"], r["verdict"], r["row_count"]) for r in rows] == [("bad", "refused", 0), ("good", "ok", 1)]
+
+
+def test_only_the_tables_that_a_request_names_are_built(spark, sf_dir, monkeypatch):
+    """A question to the events waited for all roll-ups and device sets to be built."""
+    from eventlake.catalog import REGISTRY
+    from eventlake.catalog import governed as catalog
+    asked, real = [], catalog.built
+    monkeypatch.setattr(catalog, "built", lambda s, d, *parts: asked.append(parts) or real(s, d, *parts))
+    assert REGISTRY["governed_failures_per_day"].run(spark, sf_dir).count() == 7
+    assert asked == [("sorted",)]

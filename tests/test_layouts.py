@@ -335,3 +335,9 @@ def test_bloom_filters_skip_row_groups_of_other_devices(spark, tmp_path):
     assert 0 < rows_scanned(present) <= n / 2
     # in the range of every row group, in none of them
     assert rows_scanned(stored.where("device_id = 25").select("event_id")) <= n / 8
+
+
+def test_event_number_is_taken_from_its_json_once(spark, sf_dir):
+    """A parse for each use of the number made each pass over the events several times dearer."""
+    plan = device_events(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1

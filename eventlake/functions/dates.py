@@ -67,8 +67,8 @@ def in_window(first: date, last: date, column: str = "day") -> Column:
 def utc_clock(ts: Column) -> Column:
     """UTC wall time of a zoned timestamp, whatever the session zone is."""
     # from the epoch on, because wall times in a gap of the session zone cannot be converted
-    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
-    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    since = F.lit(timedelta(microseconds=1)) * F.unix_micros(ts)
+    return F.lit("1970-01-01").cast("timestamp_ntz") + since
 
 
 def utc_day(ts: Column) -> Column:

@@ -15,10 +15,9 @@ def duration_minutes(text: Column) -> Column:
     A unit is known by its first letter, and the first match of a unit counts."""
     total = F.lit(0).cast("bigint")
     for unit, minutes in _MINUTES.items():
-        digits = F.regexp_extract(text, rf"(\d+)\s*{unit}", 1)
-        # an empty match is kept from the cast, which would raise and catch an error for each row
-        amount = F.when(digits != "", digits.try_cast("bigint"))
-        total = total + F.coalesce(amount, F.lit(0)) * minutes
+        # most texts lack most units; they are kept from the match, and an empty match from the cast, which would raise and catch an error
+        digits = F.when(text.contains(unit), F.regexp_extract(text, rf"(\d+)\s*{unit}", 1))
+        total = total + F.coalesce(digits.try_cast("bigint"), F.lit(0)) * minutes
     return F.when(text.rlike(r"\d"), total)
 
 

@@ -215,3 +215,20 @@ def test_a_spec_of_ones_own(spark, tmp_path):
     ingest_batch(spark, write(tmp_path / "b.csv", [row()]), root, spec)
     hot = read_hot(spark, root, spec).first()
     assert (hot["second"], hot["deep"]) == ("down", 1) and "model" not in hot
+
+
+def test_report_rows_take_the_number_from_its_json_once(spark, sf_dir):
+    """A parse for each use of the number was most of what writing a batch file costs."""
+    from eventlake.catalog.reports import report_rows
+    plan = report_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
+
+
+@pytest.mark.parametrize("name, files", [("report_batch_replaced", 2), ("report_batch_verdicts", 4)])
+def test_a_batch_file_is_written_once(spark, sf_dir, monkeypatch, name, files):
+    """The same rows were written again for each name that they are loaded under."""
+    from eventlake.catalog import REGISTRY, reports
+    written, real = [], reports._batch_file
+    monkeypatch.setattr(reports, "_batch_file", lambda *a, **kw: written.append(a[2]) or real(*a, **kw))
+    assert REGISTRY[name].run(spark, sf_dir).count() > 0
+    assert len(written) == files
